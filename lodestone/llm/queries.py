@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .class_lm import op4_lm_scores
 from .decontaminate import op2_decontamination
 from .fingerprints import op9_fingerprints
 from .language import op1_language_id
 from .token_counts import op3_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_counts, op9_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_counts, op4_lm_scores, op9_fingerprints)}
 
 SQL: dict[str, str] = {}

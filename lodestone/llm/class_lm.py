@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, in_bytes, mix, parts, signed, word_hashes, words
 from .language import held_out
-from .session import bounded, kept, read
+from .session import bounded, identified, kept, read
 
 U64 = np.uint64
 #: Words that are units of their own; groups of the other words; classes; words whose counts are sent to every task.
@@ -247,16 +247,18 @@ def lookup(model: Model, codes: np.ndarray, grp: np.ndarray) -> tuple[np.ndarray
     return known, np.where(known, model.counts[there], 0), np.where(known, model.units[there], units)
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text") -> DataFrame:
-    """docs' rows with n_tokens, n_known, base_score and score (both log10 of the text's probability).
+def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs' rows, without the text, with n_tokens, n_known, base_score and score (both log10 of the text's probability).
 
     A null text counts as empty: only its end is scored.  Words beyond the listed
-    ones meet their counts in a join; only (code, row, times) crosses the network.
+    ones meet their counts in a join; only (code, document, times) crosses the network.
+    Rows that agree in id and text get the same scores; other columns stay as they are.
     """
     spark = bounded(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)
-    named = docs.drop("n_tokens", "n_known", "base_score", "score").withColumn("__row", F.monotonically_increasing_id())
-    source = named.select("__row", F.col(text).alias("text"))
+    added = ("n_tokens", "n_known", "base_score", "score")
+    docs = docs.drop(*added)
+    source, unique = identified(docs.withColumn("__all", F.struct(*docs.columns)), doc_id, text, ("__all",))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
@@ -273,7 +275,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
                 inside = g >= 0
                 own[inside] += np.log10(c[inside] + 1.0) - np.log10(m.group_total[g[inside]] + m.group_distinct[g[inside]] + 1)
                 sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[toff]) for x in (known & (c > 0), base, own)]
-                yield pa.RecordBatch.from_arrays([part.column("__row"), pa.array(np.diff(toff)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["__row", "n_tokens", "known", "base", "own"])
+                new = [pa.array(np.diff(toff)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("th"), part.column("__all"), *new], names=["doc", "th", "__all", *added])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
@@ -286,22 +289,25 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
                 order = np.lexsort((codes, row))
                 codes, row = codes[order], row[order]
                 new = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])])) if len(codes) else np.zeros(0, np.int64)
-                times = np.diff(np.append(new, len(codes)))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(codes[new])), part.column("__row").take(pa.array(row[new])), pa.array(times, pa.int32())], names=["code", "__row", "times"])
+                at = pa.array(row[new])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(codes[new])), part.column("doc").take(at), part.column("th").take(at), pa.array(np.diff(np.append(new, len(codes))), pa.int32())], names=["code", "doc", "th", "times"])
 
+    once = source.select("doc", "th", "text")
+    if not unique:
+        once = once.dropDuplicates(["doc", "th"])
     known_rare = counts.where(F.floor(F.log2("c") * 8).cast("int") < model.least).select("code", "c")
-    met = source.mapInArrow(rare, "code long, __row long, times int").join(known_rare, "code")
-    more = met.groupBy("__row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("log_more"))
-    mine = source.mapInArrow(local, "__row long, n_tokens long, known long, base double, own double")
-    scores = mine.join(more, "__row", "left").select(
-        "__row",
+    met = once.mapInArrow(rare, "code long, doc long, th long, times int").join(known_rare, "code")
+    more = met.groupBy("doc", "th").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("log_more"))
+    slim = source.select("doc", "th", "text", F.col("__all").dropFields(text).alias("__all")) if len(docs.columns) > 1 else source
+    kinds = slim.select("doc", "th", "__all", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score")).schema
+    mine = slim.mapInArrow(local, kinds)
+    return mine.join(more, ["doc", "th"], "left").select(
+        "__all.*",
         "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        (F.col("base") + F.coalesce("log_more", F.lit(0.0))).alias("base_score"),
-        (F.col("own") + F.coalesce("log_more", F.lit(0.0))).alias("score"),
+        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        (F.col("base_score") + F.coalesce("log_more", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("log_more", F.lit(0.0))).alias("score"),
     )
-    rest = [c for c in named.columns if c != text]
-    return scores.join(named.select(*rest), "__row").drop("__row")
 
 
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

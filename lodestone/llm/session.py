@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Arrow batches are bounded by bytes, for very long texts.
 BATCH_BYTES = 8 << 20
@@ -30,8 +32,33 @@ def kept(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # What the write has shuffled isn't needed any more; Spark drops it once the driver's garbage is collected.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Stands for a null doc_id; it sorts first.
+LEAST = -(1 << 63)
+
+
+def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, bool]:
+    """Rows (doc, th, text), with the columns `keep`, that (doc, th) identifies, and whether doc alone does.
+
+    th is 0 if all ids differ, else a hash of the text.  Rows that agree in id and text
+    thus are one document.  Nothing hangs on the order or partitions of a scan, which may
+    change when executors are lost.
+    """
+    ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST))
+    unique = docs.select(ids.alias("doc")).groupBy("doc").count().where("count > 1").isEmpty()
+    th = F.lit(0).cast("long") if unique else F.coalesce(F.xxhash64(F.col(text)), F.lit(0))
+    return docs.select(ids.alias("doc"), th.alias("th"), F.col(text).alias("text"), *keep), unique
+
+
+def doc_ids(column="doc"):
+    """The ids as they were: LEAST is null again."""
+    return F.when(F.col(column) != LEAST, F.col(column))

@@ -65,3 +65,6 @@ def test_beats_base_held_out_and_handles_empty(spark):
     scored = rows(M.score(docs, model, counts), "doc_id", "n_tokens", "n_known", "base_score")
     assert scored == [(0, 3, 0, 0.0), (1, 1, 0, 0.0)]
     assert M.score(docs.limit(0), *M.fit(docs)).count() == 0
+    model, counts = M.fit(docs, listed=0)
+    twice = docs.union(docs).union(table(spark, ["b c c"]))
+    assert rows(M.score(twice, model, counts), "doc_id", "n_tokens", "n_known") == [(0, 3, 3), (0, 3, 3), (0, 4, 2), (1, 1, 1), (1, 1, 1)]

@@ -6,8 +6,9 @@ from .class_lm import op4_lm_scores
 from .decontaminate import op2_decontamination
 from .fingerprints import op9_fingerprints
 from .language import op1_language_id
+from .substrings import op6_substring_dedup
 from .token_counts import op3_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_counts, op4_lm_scores, op9_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_counts, op4_lm_scores, op6_substring_dedup, op9_fingerprints)}
 
 SQL: dict[str, str] = {}

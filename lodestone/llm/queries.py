@@ -6,10 +6,11 @@ from .class_lm import op4_lm_scores
 from .decontaminate import op2_decontamination
 from .fingerprints import op9_fingerprints
 from .language import op1_language_id
+from .packing import op5_packing
 from .phrases import op10_phrase_dedup
 from .substrings import op6_substring_dedup
 from .token_counts import op3_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_counts, op4_lm_scores, op6_substring_dedup, op9_fingerprints, op10_phrase_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_counts, op4_lm_scores, op5_packing, op6_substring_dedup, op9_fingerprints, op10_phrase_dedup)}
 
 SQL: dict[str, str] = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .class_lm import op4_lm_scores
 from .decontaminate import op2_decontamination
 from .fingerprints import op9_fingerprints
+from .jaccard import op7_jaccard_join
 from .language import op1_language_id
 from .packing import op5_packing
 from .phrases import op10_phrase_dedup
@@ -12,6 +13,6 @@ from .secrets import op8_secret_scan
 from .substrings import op6_substring_dedup
 from .token_counts import op3_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_counts, op4_lm_scores, op5_packing, op6_substring_dedup, op8_secret_scan, op9_fingerprints, op10_phrase_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_counts, op4_lm_scores, op5_packing, op6_substring_dedup, op7_jaccard_join, op8_secret_scan, op9_fingerprints, op10_phrase_dedup)}
 
 SQL: dict[str, str] = {}

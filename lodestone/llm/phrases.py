@@ -32,6 +32,8 @@ from .session import bounded, doc_ids, identified, kept, read
 U64 = np.uint64
 #: Bytes of a string, bytes of a trigger, mean bytes from trigger to trigger, suffixes that share a core.
 LENGTH, GRAM, SPACING, BLOCK = 400, 8, 48, 64
+#: How much more frequent triggers are where there were none.
+DENSER = 3
 
 
 def triggers(raw: np.ndarray, off: np.ndarray, spacing: int = SPACING) -> tuple[np.ndarray, np.ndarray]:
@@ -46,11 +48,12 @@ def triggers(raw: np.ndarray, off: np.ndarray, spacing: int = SPACING) -> tuple[
     return at[inside], row[inside]
 
 
-def cores(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, spacing: int = SPACING, block: int = BLOCK) -> dict[str, np.ndarray]:
+def cores(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, spacing: int = SPACING, block: int = BLOCK, level: int = 0) -> dict[str, np.ndarray]:
     """For each block of a phrase's suffixes: the row; the first and the last string that starts in it (s to t, from the
     row's start); the core's hash (key) and the extent's (h).
 
-    A string that holds no whole trigger is a block of its own.
+    Strings without a whole trigger, as in texts that repeat few words, are parsed once
+    more with triggers DENSER times as frequent; without those, too, each is a block of its own.
     """
     at, row = triggers(raw, off, spacing)
     sums = prefix_sums(byte_codes(4)[raw], 4)
@@ -65,24 +68,28 @@ def cores(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, spacing: int =
     far = np.minimum(b * block + block - 1, most[which])
     near = np.maximum(b * block, least[which])
     x = at[which]
-    key = slices(sums, x - b * block, x - b * block + length - block + 1, 4) + b.astype(U64)
+    key = slices(sums, x - b * block, x - b * block + length - block + 1, 4) + b.astype(U64) + U64(level << 32)
     s, t, rows = x - far, x - near, row[which]
     h = slices(sums, s, t + length, 4) + far.astype(U64) * U64(1000003) + near.astype(U64)
     # Strings without a trigger: far before the next one, or after the last.
     n_rows = len(off) - 1
     last = np.full(n_rows, -1, np.int64)
     last[row] = at
-    tail_from = np.where(last >= 0, last + 1, off[:-1])
-    bare_from = np.concatenate([since, tail_from])
+    bare_from = np.concatenate([since, np.where(last >= 0, last + 1, off[:-1])])
     bare_to = np.concatenate([np.minimum(at - (length - GRAM), off[row + 1] - length + 1), off[1:] - length + 1])
     bare_row = np.concatenate([row, np.arange(n_rows)])
-    m = np.maximum(bare_to - bare_from, 0)
-    alone = ranges(bare_from, m)
-    alone_row = np.repeat(bare_row, m)
-    own = slices(sums, alone, alone + length, 4)
-    rows = np.concatenate([rows, alone_row])
-    cat = lambda a, c: np.concatenate([a, c])
-    return {"row": rows, "s": cat(s, alone) - off[rows], "t": cat(t, alone) - off[rows], "key": cat(key, own ^ U64(0x5BD1E995)), "h": cat(h, own)}
+    some = bare_to > bare_from
+    bare_from, bare_row, m = bare_from[some], bare_row[some], (bare_to - bare_from)[some]
+    if spacing > 1 and len(m):
+        inner = cores(raw[ranges(bare_from, m + length - 1)], np.concatenate([[0], np.cumsum(m + length - 1)]), length, max(1, spacing // DENSER), block, level + 1)
+        more = {"row": bare_row[inner["row"]], "s": bare_from[inner["row"]] + inner["s"], "t": bare_from[inner["row"]] + inner["t"], "key": inner["key"], "h": inner["h"]}
+    else:
+        alone = ranges(bare_from, m)
+        own = slices(sums, alone, alone + length, 4)
+        more = {"row": np.repeat(bare_row, m), "s": alone, "t": alone, "key": own ^ U64(0x5BD1E995), "h": own}
+    rows = np.concatenate([rows, more["row"]])
+    cat = lambda a, c: np.concatenate([a, more[c]])
+    return {"row": rows, "s": cat(s, "s") - off[rows], "t": cat(t, "t") - off[rows], "key": cat(key, "key"), "h": cat(h, "h")}
 
 
 def read_cores(docs: DataFrame, length: int, spacing: int, block: int, keys_only: bool) -> DataFrame:
@@ -129,22 +136,22 @@ def single_strings(extents: DataFrame, bodies: DataFrame, length: int) -> DataFr
 def repeated_spans(docs: DataFrame, length: int = LENGTH, spacing: int = SPACING, block: int = BLOCK) -> DataFrame:
     """(doc, th, start, end) in bytes: strings of `length` bytes that also start elsewhere.
 
-    docs is what identified() gives.  Spans may overlap.
+    docs is what identified() gives, each document once.  Spans may overlap.
     """
     block = max(1, min(block, length - GRAM))
     place = F.struct("doc", "th", "s", "t")
-    keys = read_cores(docs, length, spacing, block, True).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    # Written before the join, so that Spark can split a frequent core's partition.
+    keys = kept(read_cores(docs, length, spacing, block, True).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
     found = kept(read_cores(docs, length, spacing, block, False).join(keys, "key", "left_semi"))
-    extents = kept(found.groupBy("key", "h").agg(F.min(place).alias("one"), F.max(place).alias("other")))
+    extents = kept(found.groupBy("key", "h").agg(F.min(place).alias("one"), F.count("*").alias("n")))
     whole = (
-        found.join(extents.where("one < other").select("key", "h"), ["key", "h"], "left_semi")
+        found.join(extents.where("n > 1").select("key", "h"), ["key", "h"], "left_semi")
         .select("doc", "th", F.col("s").alias("start"), (F.col("t") + length).alias("end"))
     )
     differing = extents.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    compared = extents.join(differing, "key", "left_semi").select("key", "one.*", (F.col("one") == F.col("other")).alias("alone"))
+    compared = extents.join(differing, "key", "left_semi").select("key", "one.*", (F.col("n") == 1).alias("alone"))
     strings = kept(single_strings(compared, packed(docs), length))
-    spot = F.struct("doc", "th", "s")
-    shared = strings.groupBy("key", "e").agg(F.min(spot).alias("one"), F.max(spot).alias("other")).where("one < other").select("key", "e")
+    shared = strings.groupBy("key", "e").agg(F.count("*").alias("n")).where("n > 1").select("key", "e")
     partly = strings.where("alone").join(shared, ["key", "e"], "left_semi").select("doc", "th", F.col("s").alias("start"), (F.col("s") + length).alias("end"))
     return whole.unionByName(partly)
 
@@ -179,8 +186,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, spacing: int = SPACING
     of their own.
     """
     bounded(docs.sparkSession)
-    source, _ = identified(docs, doc_id, text)
-    out = without_spans(source, repeated_spans(source, length, spacing, block))
+    source, unique = identified(docs, doc_id, text)
+    once = source if unique else source.dropDuplicates(["doc", "th"])
+    out = without_spans(source, repeated_spans(once, length, spacing, block))
     return out.select(doc_ids().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "body")
 
 

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import in_bytes, parts, ranges, word_hashes, words
+from .arrays import LOWER, in_bytes, parts, ranges, word_hashes
 from .session import bounded, doc_ids, identified, kept, read
 
 #: Tokens in a sequence; the token after each document; shares of a length that are ranked apart.
 CAPACITY, END_TOKEN, SHARES = 2048, 0, 256
-#: Distinct words whose tokens a task remembers.
-REMEMBERED = 300_000
+#: Distinct fragments whose tokens a task remembers, about.
+REMEMBERED = 400_000
 
 
 def superstep_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarray]:
@@ -63,38 +63,107 @@ def superstep_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[
     return dict(zip(("length", "rank", "sequence", "offset"), columns, strict=True)) | {"opened": np.array([opened])}
 
 
+def fragment_classes() -> np.ndarray:
+    """By byte: 0 white space, 1 ASCII letters and digits, 2 ASCII punctuation, 3 what no cut is made beside."""
+    t = np.full(256, 3, dtype=np.uint8)
+    t[[0x20, *range(0x09, 0x0E)]] = 0
+    t[0x30:0x3A] = t[0x41:0x5B] = t[0x61:0x7B] = 1
+    t[[k for k in range(0x21, 0x7F) if t[k] == 3 and chr(k) not in "'<|>"]] = 2
+    return t
+
+
+def fragments(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of pieces of text that the tokenizer never joins, and row offsets: words without white space, cut
+    also between letters or digits and punctuation.  No cut is made beside apostrophes (contractions), the
+    marks of special tokens and anything beyond ASCII."""
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
+    kind = fragment_classes()[raw]
+    inside = kind > 0
+    new = np.ones(len(raw), dtype=bool)
+    new[1:] = (kind[:-1] == 0) | ((kind[1:] ^ kind[:-1]) == 3) & (kind[1:] < 3) & (kind[:-1] < 3)
+    new[off[:-1][off[:-1] < len(raw)]] = True
+    last = np.ones(len(raw), dtype=bool)
+    last[:-1] = new[1:] | ~inside[1:]
+    start, end = np.flatnonzero(inside & new), np.flatnonzero(inside & last) + 1
+    return start, end, np.searchsorted(start, off)
+
+
+class KnownTokens:
+    """The tokens of the fragments met so far, by hash, in flat arrays."""
+
+    def __init__(self, vocabulary_path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary_path)
+        # A symbol that is a token of its own parts fragments that are encoded together.
+        self.mark = next(c for c in ("\u2605", "\u2192", "\u2122", "\u2713", "\u2022", "\u00a9", "") if not c or len(self._ids(c)) == 1)
+        self.mark_id = self._ids(self.mark)[0] if self.mark else None
+        self.clear()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def clear(self) -> None:
+        self.hashes, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def encode(self, texts: list[str], together: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens, and how many each text has."""
+        plain = [k for k, t in enumerate(texts) if self.mark and self.mark not in t and "<|" not in t]
+        size = np.zeros(len(texts), dtype=np.int64)
+        groups = [plain[k : k + together] for k in range(0, len(plain), together)]
+        joined = self.tokenizer.encode_batch_fast([f" {self.mark} ".join([texts[k] for k in g]) for g in groups], add_special_tokens=False)
+        one = np.concatenate([np.array([*e.ids, self.mark_id], dtype=np.uint32) for e in joined]) if groups else np.zeros(0, np.uint32)
+        cut = np.flatnonzero(one == self.mark_id) if groups else np.zeros(0, np.int64)
+        size[plain] = np.diff(np.concatenate([[-1], cut])) - 1
+        rest = sorted({*range(len(texts))} - {*plain}) if len(plain) < len(texts) else []
+        alone = self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)
+        size[rest] = [len(e.ids) for e in alone]
+        out = np.empty(int(size.sum()), dtype=np.uint32)
+        begin = np.cumsum(size) - size
+        out[ranges(begin[plain], size[plain])] = one[one != self.mark_id] if groups else one
+        for k, e in zip(rest, alone, strict=True):
+            out[begin[k] : begin[k] + size[k]] = e.ids
+        return out, size
+
+    def of(self, text: bytes, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all fragments in order, and how many each has."""
+        distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) > REMEMBERED:
+            self.clear()
+        new = ~np.isin(distinct, self.hashes, assume_unique=True)
+        if new.any():
+            at = one[new]
+            flat, size = self.encode([text[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            begin = np.cumsum(size) - size + len(self.flat)
+            order = np.argsort(all_ := np.concatenate([self.hashes, distinct[new]]))
+            self.hashes, self.begin, self.size = all_[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+            self.flat = np.concatenate([self.flat, flat])
+        k = np.searchsorted(self.hashes, distinct)[which]
+        return self.flat[ranges(self.begin[k], self.size[k])], self.size[k]
+
+
 def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc, th, piece, start, length, ids_crc32[, ids]): each text's tokens and the end token, cut
     only where longer than a sequence.
 
-    The tokenizer never joins across white space, so each distinct word of a run
-    of rows is tokenized once.
+    Each distinct fragment that a task meets is tokenized once.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary_path)
-        known: dict[bytes, list[int]] = {}
+        known = KnownTokens(vocabulary_path)
         for batch in batches:
-            for part in parts(batch, "text"):
+            for part in parts(batch, "text", 4_000_000):
                 raw, off = in_bytes(part.column("text"))
-                start, end, woff = words(raw, off, "space")
-                _, one, which = np.unique(word_hashes(raw, start, end), return_index=True, return_inverse=True)
                 text = raw.tobytes()
-                distinct = [text[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                new = [w for w in distinct if w not in known]
-                for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                    known[w] = e.ids
-                own = [known[w] for w in distinct]
-                size = np.array([len(x) for x in own], dtype=np.int64)
-                flat = np.fromiter((t for x in own for t in x), dtype=np.uint32, count=int(size.sum()))
-                begin = np.cumsum(size) - size
-                ids = flat[ranges(begin[which], size[which])]
-                toff = np.concatenate([[0], np.cumsum(size[which])])[woff]
+                if b"<|" not in text:  # the tokenizer would do so after it has looked for special tokens
+                    raw = LOWER[raw]
+                    text = raw.tobytes()
+                start, end, foff = fragments(raw, off)
+                ids, size = known.of(text, start, end, word_hashes(raw, start, end))
+                toff = np.concatenate([[0], np.cumsum(size)])[foff]
                 ids = np.insert(ids, toff[1:], END_TOKEN).astype("<u4")
                 toff = toff + np.arange(len(toff))
                 n = np.diff(toff)

@@ -73,11 +73,29 @@ def check(got, texts, capacity):
 
 
 def test_tokens_and_places(spark):
-    odd = ["don't STOP<|endoftext|>now", "étude  x y\u0085z", "ΣΑΣ İstanbul ﬁ", "a\x00b\x1c c", "'s 't 12 345 $$$ ###", "日本語 テスト　です", "́ x ́"]
+    odd = ["don't STOP<|endoftext|>now", "étude  x y\u0085z", "ΣΑΣ İstanbul ﬁ", "a\x00b\x1c c", "'s 't 12 345 $$$ ###", "日本語 テスト　です", "́ x ́", "a≠b (c)d,e.f;G\u2605h \u2605 i★★", "<|STARTOFTEXT|> THE <|startoftext|>.x", "x.'s .'S a'b'c ''t", "A\u0301.B é,È;"]
     texts = [*corpus(9, n=50), *odd]
     check(P.pack(table(spark, texts), PATH, 100).collect(), texts, 100)
 
 
+def test_fragments_of_random_texts():
+    from tokenizers import Tokenizer
+
+    from lodestone.llm.arrays import word_hashes
+
+    t, known = Tokenizer.from_file(PATH), P.KnownTokens(PATH)
+    r = random.Random(1)
+    alphabet = [*"abZ019.,'s!?<|>()$=_- \n\t", "́", "̸", "é", "ſ", "K", "\u2605", "日", "٣", "\u00a0", "\x1c", "\x85", "don't", "<|endoftext|>", "İ"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 25))) for _ in range(4000)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(x.encode()) for x in texts])]).astype(np.int64)
+    start, end, foff = P.fragments(raw, off)
+    ids, size = known.of(raw.tobytes(), start, end, word_hashes(raw, start, end))
+    toff = np.concatenate([[0], np.cumsum(size)])[foff]
+    for k, x in enumerate(texts):
+        assert ids[toff[k] : toff[k + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+
+
 def test_query(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
     check(P.op5_packing(spark, "/root/testdata/sf0.001").collect(), texts, 2048)

@@ -31,9 +31,9 @@ from .session import LEAST, bounded, doc_ids, identified, kept, read
 
 U64 = np.uint64
 #: Words in a shingle; the similarity as a fraction; groups of a point.
-SHINGLE, NUM, DEN, GROUPS = 5, 3, 4, 64
+SHINGLE, NUM, DEN, GROUPS = 5, 3, 4, 128
 #: Shingles are counted below this share of the hash range; prefixes seldom go beyond.
-COUNTED = 0.4
+COUNTED = 0.3
 COUNTED_BELOW = int(COUNTED * 2**63)
 #: Shingles in more documents than this, or than one in so many documents, are frequent; of these at most so many are sent to tasks.
 FREQUENT, FREQUENT_SHARE, SENT = 200, 5000, 1_000_000
@@ -47,32 +47,61 @@ def sets(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     hashes, soff = shingle_hashes(raw, off, k)
     hashes = hashes >> U64(1)
     own = owners(soff)
-    order = np.lexsort((hashes, own))
-    hashes = hashes[order]
+    order = np.argsort(hashes)
+    order = order[by_row(own[order], part.num_rows)]
+    hashes, own = hashes[order], own[order]
     new = np.ones(len(hashes), dtype=bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (own[1:] != own[:-1])
     return hashes[new], np.searchsorted(own[new], np.arange(part.num_rows + 1))
 
 
-def points(hashes: np.ndarray, soff: np.ndarray, groups: int) -> np.ndarray:
-    """The number of each row's shingles in each group."""
-    group = (mix(hashes) % U64(groups)).astype(np.int64)
-    n = len(soff) - 1
-    return np.minimum(np.bincount(owners(soff) * groups + group, minlength=n * groups), 65535).astype(np.uint16).reshape(n, groups)
+def by_row(own: np.ndarray, rows: int) -> np.ndarray:
+    """A stable order by row; few rows sort by their digits."""
+    return np.argsort(own.astype(np.uint16) if rows < 1 << 16 else own, kind="stable")
+
+
+def coded(counts: np.ndarray) -> bytes:
+    """Counts as a byte each, and a power of two that they are multiples of, rounded up: a bound from above."""
+    shift = 0
+    while (int(counts.max(initial=0)) + (1 << shift) - 1) >> shift > 255:
+        shift += 1
+    return ((counts + (1 << shift) - 1) >> shift).astype(np.uint8).tobytes() + bytes([shift])
+
+
+def decoded(point: bytes) -> np.ndarray:
+    return np.frombuffer(point, np.uint8, len(point) - 1).astype(np.int32) << point[-1]
+
+
+def finest(n: int, groups: int) -> int:
+    """Groups of a set's fine point: a power of two, one for eight shingles or so."""
+    return max(groups, 1 << (max(n, 1) // 8).bit_length())
+
+
+def grouped(hashes: np.ndarray, groups: int) -> np.ndarray:
+    """The number of shingles in each group; groups (a power of two) are ranges of a hash, so that neighbours add up to coarser ones."""
+    return np.bincount((mix(hashes) >> U64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    return counts.reshape(groups, -1).sum(axis=1)
 
 
 def sizes(docs: DataFrame, k: int, groups: int) -> DataFrame:
-    """(doc, th, n, f1, f2, point): size, fingerprint and point of each document's set."""
+    """(doc, th, n, f1, f2, point, fine): size, fingerprint, point and fine point of each document's set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, "text"):
                 hashes, soff = sets(part, k)
                 f = [np.diff(np.concatenate([[U64(0)], np.cumsum(mix(hashes + U64(s)))])[soff]) for s in (1, 2)]
-                p = points(hashes, soff, groups)
-                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("th"), pa.array(np.diff(soff)), *(pa.array(signed(np.ascontiguousarray(x))) for x in f), pa.array([x.tobytes() for x in p], pa.binary())], names=["doc", "th", "n", "f1", "f2", "point"])
+                fine, point = [], []
+                for a, b in zip(soff[:-1].tolist(), soff[1:].tolist(), strict=True):
+                    counts = grouped(hashes[a:b], finest(b - a, groups))
+                    fine.append(coded(counts))
+                    point.append(coded(folded(counts, groups)))
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("th"), pa.array(np.diff(soff)), *(pa.array(signed(np.ascontiguousarray(x))) for x in f), pa.array(point, pa.binary()), pa.array(fine, pa.binary())], names=["doc", "th", "n", "f1", "f2", "point", "fine"])
 
-    return docs.mapInArrow(scan, "doc long, th long, n long, f1 long, f2 long, point binary")
+    return docs.mapInArrow(scan, "doc long, th long, n long, f1 long, f2 long, point binary, fine binary")
 
 
 def count_shingles(docs: DataFrame, k: int) -> DataFrame:
@@ -102,7 +131,7 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray)
                 late = np.zeros(len(hashes), dtype=bool)
                 if len(often):
                     late = often[np.minimum(np.searchsorted(often, hashes), len(often) - 1)] == hashes
-                order = np.lexsort((hashes, late, own))
+                order = by_row(own * 2 + late, 2 * part.num_rows)
                 nth = np.arange(len(hashes)) - soff[own]
                 first = nth < (n - -(-num * n // den) + 1)[own]
                 at = pa.array(own[first])
@@ -165,7 +194,8 @@ def tree_pairs(rows: DataFrame, num: int, den: int, groups: int) -> DataFrame:
             if not table.num_rows:
                 return
             key, chunk, query, label, size = (table.column(c).to_numpy() for c in ("key", "chunk", "query", "label", "size"))
-            vectors = np.frombuffer(b"".join(table.column("point").to_pylist()), dtype=np.uint16).reshape(-1, groups)
+            coded_ = np.frombuffer(b"".join(table.column("point").to_pylist()), dtype=np.uint8).reshape(-1, groups + 1)
+            vectors = coded_[:, :-1].astype(np.int32 if coded_[:, -1].max() > 7 else np.uint16) << coded_[:, -1:].astype(np.uint16)
             size = size.astype(np.int64)
             new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])]))
             end = np.append(new[1:], len(key))
@@ -213,6 +243,25 @@ def tree_pairs(rows: DataFrame, num: int, den: int, groups: int) -> DataFrame:
     return out.select(F.struct(F.col("adoc").alias("doc"), F.col("ath").alias("th")).alias("a"), F.struct(F.col("bdoc").alias("doc"), F.col("bth").alias("th")).alias("b"))
 
 
+def within_bound(pairs: DataFrame, fine: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose fine points' coordinate minima add up to the overlap asked for."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in ("apoint", "bpoint", "an", "bn")), strict=True):
+                p, q = decoded(x), decoded(y)
+                g = min(len(p), len(q))
+                bound = int(np.minimum(p if len(p) == g else folded(p, g), q if len(q) == g else folded(q, g)).sum())
+                good.append(bound * (num + den) >= num * (m + n))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda x: fine.select(F.struct("doc", "th").alias(x), F.col("fine").alias(f"{x}point"), F.col("n").alias(f"{x}n"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "apoint", "bpoint", "an", "bn")
+    kind = "struct<doc:bigint,th:bigint>"
+    return met.mapInArrow(scan, f"a {kind}, b {kind}")
+
+
 def verified(pairs: DataFrame, bodies: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (u, v) among (a, b) that are alike enough, told from their whole texts."""
     import zstandard
@@ -257,7 +306,7 @@ def links_and_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: in
     known = kept(sizes(docs, k, groups))
     classes = known.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(vertex()).alias("rep"))
     members = kept(known.join(classes, ["f1", "f2", "n"], "left").select("doc", "th", "n", F.coalesce("rep", vertex()).alias("rep")))
-    reps = kept(known.where("n > 0").select("doc", "th", "point").join(members.select(F.col("rep.doc").alias("doc"), F.col("rep.th").alias("th")).distinct(), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]))
+    reps = kept(known.where("n > 0").select("doc", "th", "n", "point", "fine").join(members.select(F.col("rep.doc").alias("doc"), F.col("rep.th").alias("th")).distinct(), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]))
     shared = kept(count_shingles(docs, k).where("n > 1"))
     often = max(FREQUENT, known.count() // FREQUENT_SHARE)
     while shared.where(F.col("n") > often).count() > SENT:
@@ -270,7 +319,7 @@ def links_and_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: in
     centres = buckets.groupBy("key").agg(F.min(F.struct("doc", "th", "size")).alias("c"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     alike = (den * F.least("size", "c.size") >= num * F.greatest("size", "c.size")) & (vertex() != vertex("c.doc", "c.th"))
     stars = buckets.join(centres, "key").where(alike).select(vertex("c.doc", "c.th").alias("a"), vertex().alias("b")).distinct()
-    first_links = kept(verified(stars, bodies, k, num, den))
+    first_links = kept(verified(within_bound(stars, reps, num, den), bodies, k, num, den))
     label = first_links.groupBy("v").agg(F.min("u").alias("u"))
     up = label.select(F.col("v").alias("w"), F.col("u").alias("top"))
     label = label.join(up, label["u"] == up["w"], "left").select(F.col("v.doc").alias("doc"), F.col("v.th").alias("th"), F.coalesce("top", "u").alias("label"))
@@ -279,13 +328,13 @@ def links_and_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: in
     per = labelled.groupBy("key", "label").agg(F.count("*").alias("rows"))
     mixed = per.groupBy("key").agg(F.max_by("label", "rows").alias("main"), F.count("*").alias("labels"), F.sum("rows").alias("rows")).where("labels > 1").drop("labels")
     chunks = F.ceil(F.col("rows") / TREE).cast("int")
-    dealt = labelled.join(mixed, "key").withColumn("query", F.col("label") != F.col("main")).join(reps, ["doc", "th"])
+    dealt = labelled.join(mixed, "key").withColumn("query", F.col("label") != F.col("main")).join(reps.select("doc", "th", "point"), ["doc", "th"])
     own = F.pmod(F.xxhash64("doc", "th"), chunks).cast("int")
     everywhere = F.when(F.col("query"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(own))
     rows = dealt.select("key", F.explode(everywhere).alias("chunk"), "query", "doc", "th", F.xxhash64("label").alias("label"), "size", "point")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     candidates = tree_pairs(rows.repartition(tasks, "key", "chunk").sortWithinPartitions("key", "chunk"), num, den, groups)
-    more_links = kept(verified(candidates, bodies, k, num, den))
+    more_links = kept(verified(within_bound(candidates, reps, num, den), bodies, k, num, den))
     return first_links.unionByName(more_links), members
 
 

@@ -76,6 +76,17 @@ def test_tree_finds_all_within_bound():
         assert sorted(t.search(v[q], int(n[q]), 3, 4).tolist()) == want.tolist()
 
 
+def test_points_bound_from_above():
+    r = np.random.default_rng(5)
+    for n in (0, 1, 7, 900, 5000):
+        h = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        fine = J.grouped(h, J.finest(len(h), 128))
+        assert fine.sum() == len(h) and (J.folded(fine, 128) == J.grouped(h, 128)).all()
+        assert (J.decoded(J.coded(fine)) == fine).all()
+    big = np.array([3, 700, 70000, 0])
+    assert (J.decoded(J.coded(big)) >= big).all() and J.decoded(J.coded(big))[3] == 0
+
+
 def test_query(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
     assert rows(J.op7_jaccard_join(spark, "/root/testdata/sf0.001"), "doc_id", "n_shingles", "component_id") == brute(texts)

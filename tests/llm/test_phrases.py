@@ -23,7 +23,7 @@ def brute(texts, k):
     return out
 
 
-@pytest.mark.parametrize(("seed", "k", "spacing", "block"), [(1, 400, 48, 64), (2, 60, 10, 16), (3, 24, 5, 7), (4, 30, 1000, 8), (5, 12, 1, 3)])
+@pytest.mark.parametrize(("seed", "k", "spacing", "block"), [(1, 400, 48, 64), (3, 24, 5, 7), (4, 30, 1000, 8)])
 def test_against_brute_force(spark, seed, k, spacing, block):
     texts = [*corpus(seed, n=40, longest=90), "a" * 700, "b" * 390 + "a" * 450, "ab" * 300, "xyz" + "ab" * 220]
     got = rows(P.remove_repeats(table(spark, texts), k, spacing, block), "doc_id", "n_bytes", "n_removed", "n_spans", "body")

@@ -105,12 +105,42 @@ def pack_frame(entries: DataFrame, archives: list[str], output: str, options: di
     Encoded data is staged once, as the layout and the volumes must agree on it.  file_idx must run from 0 without
     gaps.
     """
-    spark = entries.sparkSession
     if not archives:
         raise S.ArchiveError("Io", "No archives specified")
+    return _write(_staged(entries, staging), archives, output)
+
+
+def pack_frames(entries: DataFrame, archives: list[str], output: str, staging: str | None = None) -> list[int]:
+    """Packs entries (archive, file_idx, path, volume, method, data) into one archive for each number in `archive`, and
+    returns the numbers.
+
+    The names of volumes, which `archives` lists, have the number for {}.  All entries are encoded in one go;
+    the driver then lays out one archive after the other.  In each, file_idx must run from 0 without gaps.
+    """
+    if not archives:
+        raise S.ArchiveError("Io", "No archives specified")
+    staged = _staged(entries, staging, "archive")
+    numbers = [r.archive for r in staged.select("archive").distinct().collect()]
+    if None in numbers:
+        raise ValueError("an entry has no archive")
+    # Without any entry there is one archive, and nothing in it.
+    for k in sorted(numbers) or [0]:
+        _write(staged.where(F.col("archive") == k).drop("archive"), [name.format(k) for name in archives], output)
+    return sorted(numbers) or [0]
+
+
+def _staged(entries: DataFrame, staging: str | None, *by: str) -> DataFrame:
+    """The entries with their data encoded, as a table in a folder for each value of `by`."""
+    spark = entries.sparkSession
     staged_at = f"{staging or spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='lodestone-')}/pack-{uuid.uuid4().hex}"
-    encoded(entries.select("file_idx", "path", F.col("volume").cast("int").alias("volume"), "method", "data")).write.parquet(staged_at)
-    staged = spark.read.parquet(staged_at)
+    rows = encoded(entries.select("file_idx", "path", F.col("volume").cast("int").alias("volume"), "method", "data", *by))
+    rows.write.partitionBy(*by).parquet(staged_at)
+    return spark.read.schema(rows.schema).parquet(staged_at)
+
+
+def _write(staged: DataFrame, archives: list[str], output: str) -> DataFrame:
+    """Lays out one archive and writes its volumes."""
+    spark = staged.sparkSession
     meta = staged.drop("data").withColumn("archive", F.lit(archives[0])).withColumn("file", F.col("volume"))
     named = meta.withColumn("name", basename(F.col("path"))).withColumn("dir", to_archive(parent(F.col("path"))))
     dictionary = layout.directory_dictionary(named)
@@ -120,23 +150,24 @@ def pack_frame(entries: DataFrame, archives: list[str], output: str, options: di
     sizes = layout.header_sizes(strings, named, volume_names).first()
     base = F.when(F.col("file") == 0, F.lit(sizes.header_size if sizes else 0)).otherwise(0)
     placed = layout.running_offsets(layout.with_directory_ids(named, dictionary), "stored_length", "file_idx", base)
-    rows = placed.orderBy("file_idx").collect()
-    if len(rows) > 0xFFFF:
-        raise S.ArchiveError("Io", f"{len(rows)} files; the format holds {0xFFFF}")
-    for k, r in enumerate(rows):
-        if r.file_idx != k:
+    # Columns, as rows of Python take several times the memory.
+    columns = ("file_idx", "name", "path", "dir_id", "offset", "stored_length", "original_length", "flags", "volume")
+    rows = placed.select(*columns).orderBy("file_idx").toArrow()
+    if rows.num_rows > 0xFFFF:
+        raise S.ArchiveError("Io", f"{rows.num_rows} files; the format holds {0xFFFF}")
+    index, names, path, dir_ids, *chunk = (rows.column(c).to_pylist() for c in columns)
+    for k, (i, name, p, volume) in enumerate(zip(index, names, path, chunk[-1], strict=True)):
+        if i != k:
             raise ValueError(f"file_idx has a gap at {k}")
-        if not r.name or r.path == ".":
-            raise S.ArchiveError("Io", f"Invalid file path {r.path!r}")
-        if not 0 <= r.volume < len(archives):
-            raise S.ArchiveError("VolumeNotFound", f"{r.path} belongs to volume {r.volume}; there are {len(archives)}")
-    text = [r.value for r in strings.orderBy("pos").collect()]
-    chunks = [(r.offset, r.stored_length, r.original_length, r.flags, r.volume) for r in rows]
-    header = serialise(Header(len(rows), len(text) - len(rows) + 1, 0, text, [(r.dir_id, [k]) for k, r in enumerate(rows)], len(archives), chunks, archives[1:]))
+        if not name or p == ".":
+            raise S.ArchiveError("Io", f"Invalid file path {p!r}")
+        if not 0 <= volume < len(archives):
+            raise S.ArchiveError("VolumeNotFound", f"{p} belongs to volume {volume}; there are {len(archives)}")
+    text = strings.select("pos", "value").orderBy("pos").toArrow().column("value").to_pylist()
+    header = serialise(Header(len(index), len(text) - len(index) + 1, 0, text, [(d, [k]) for k, d in enumerate(dir_ids)], len(archives), list(zip(*chunk, strict=True)), archives[1:]))
     if sizes and len(header) != sizes.header_size:
         raise AssertionError("the header isn't as long as it was taken to be")
-    offsets = spark.createDataFrame([(r.file_idx, r.offset) for r in rows], "file_idx long, offset long")
-    write_volumes(staged.join(offsets, "file_idx"), output, archives, header)
+    write_volumes(staged.join(placed.select("file_idx", "offset"), "file_idx"), output, archives, header)
     return placed.select("file_idx", "path", "volume", "flags", "offset", "original_length", "stored_length", "substituted")
 
 

@@ -362,12 +362,14 @@ def config_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 METHOD_OF = ("Copy", "Zlib", "Bzip", "Lzma", "Zero")
 
 
-def packed_archive(spark: SparkSession, sf_dir: str, most: int = 0xFFFF) -> str:
-    """The documents as the files of one archive of three volumes, in the shared folder."""
+def packed_archives(spark: SparkSession, sf_dir: str, most: int = 0xFFFF) -> str:
+    """The documents as the files of archives of three volumes, in a folder of the shared one.  An archive holds `most`
+    documents, so there are as many archives as it takes."""
     folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='lodestone-')}".removeprefix("file://")
     k = F.col("doc_id")
-    entries = read(spark, sf_dir, "documents").where(k < most).select(
-        k.alias("file_idx"),
+    entries = read(spark, sf_dir, "documents").select(
+        F.floor(k / most).cast("long").alias("archive"),
+        (k % most).alias("file_idx"),
         F.concat(F.when(k % 10 == 0, "").otherwise(F.concat("lang", F.lit("/"), "source", F.lit("/"))), F.lit("doc_"), k, F.lit(".txt")).alias("path"),
         (k % 3).cast("int").alias("volume"),
         F.element_at(F.array(*map(F.lit, METHOD_OF)), (k % 5 + 1).cast("int")).alias("method"),
@@ -375,9 +377,14 @@ def packed_archive(spark: SparkSession, sf_dir: str, most: int = 0xFFFF) -> str:
     )
     import uuid
 
-    out = f"{folder}/archive-{uuid.uuid4().hex}"
-    archives.pack_frame(entries, ["main.dz", "one.dz", "two.dz"], out)
-    return f"{out}/main.dz"
+    out = f"{folder}/archives-{uuid.uuid4().hex}"
+    archives.pack_frames(entries, ["{}.dz", "{}.one", "{}.two"], out)
+    return out
+
+
+def file_number(most: int) -> Column:
+    """A file's number among those of all archives."""
+    return (F.regexp_extract("archive", r"(\d+)\.dz$", 1).cast("long") * most + F.col("file_idx")).alias("file_idx")
 
 
 _E2E = """CASE WHEN doc_id % 10 = 0 THEN '' ELSE concat(lang, {sep}, source, '/') END"""
@@ -385,15 +392,15 @@ _E2E = """CASE WHEN doc_id % 10 = 0 THEN '' ELSE concat(lang, {sep}, source, '/'
 
 @query(f"""SELECT doc_id AS file_idx, 'OK' AS status, octet_length(encode(text)) AS size, ['Copy', 'Zlib', 'Bzip', 'LZMA', 'Zero'][doc_id % 5 + 1] AS method,
 concat({_E2E.format(sep='chr(92)')}, 'doc_', doc_id, '.txt') AS path, true AS length_match FROM documents WHERE doc_id < 65535""")
-def archive_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packs the documents and verifies the archive."""
-    return archives.verify(spark, packed_archive(spark, sf_dir)).select("file_idx", "status", "size", "method", "path", "length_match")
+def archive_e2e(spark: SparkSession, sf_dir: str, most: int = 0xFFFF) -> DataFrame:
+    """Packs the documents, as many archives as it takes, and verifies all of them."""
+    return archives.verify(spark, packed_archives(spark, sf_dir, most), perPartition="1").select(file_number(most), "status", "size", "method", "path", "length_match")
 
 
 @query(f"""SELECT doc_id AS file_idx, concat({_E2E.format(sep="'/'")}, 'doc_', doc_id, '.txt') AS path, md5(CASE WHEN doc_id % 5 = 4 THEN repeat(chr(0), octet_length(encode(text))) ELSE text END) AS md5 FROM documents WHERE doc_id < 65535""")
-def archive_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packs the documents and decodes all files again."""
-    return archives.contents(spark, packed_archive(spark, sf_dir)).select("file_idx", "path", F.md5("data").alias("md5"))
+def archive_extract(spark: SparkSession, sf_dir: str, most: int = 0xFFFF) -> DataFrame:
+    """Packs the documents, as many archives as it takes, and decodes all files again."""
+    return archives.contents(spark, packed_archives(spark, sf_dir, most), perPartition="1").select(file_number(most), "path", F.md5("data").alias("md5"))
 
 
 QUERIES = {name: f for name, (f, _) in REGISTERED.items()}

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -84,5 +85,6 @@ def write_volumes(chunks: DataFrame, folder: str, names: list[str], header: byte
     """Writes chunks (volume, offset, data) to the volumes `names` in folder; offsets must leave no gaps."""
     chunks.sparkSession.dataSource.register(VolumeSink)
     files.make_dirs(folder)
-    dealt = chunks.select("volume", "offset", "data").repartition(max(1, len(names)), "volume").sortWithinPartitions("volume", "offset")
+    # An empty chunk shares its offset with the next one and comes before it.
+    dealt = chunks.select("volume", "offset", "data").repartition(max(1, len(names)), "volume").sortWithinPartitions("volume", "offset", F.octet_length("data"))
     dealt.write.format("archive_volumes").options(names="\n".join(names), header=b64encode(header).decode()).mode("append").save(folder)

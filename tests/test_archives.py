@@ -179,6 +179,14 @@ def test_pack_errors(spark, tmp_path):
     assert (tmp_path / "u/d/a").read_bytes() == b""  # the last of two with one path
 
 
+def test_empty_chunk_before_the_one_at_its_offset(spark, tmp_path):
+    from lodestone.sinks.volumes import write_volumes
+
+    chunks = spark.createDataFrame([(0, 2, b"cd"), (0, 2, b""), (0, 0, b"ab")], "volume int, offset long, data binary").coalesce(1)
+    write_volumes(chunks, str(tmp_path), ["v.dz"], b"")
+    assert (tmp_path / "v.dz").read_bytes() == b"abcd"
+
+
 def test_hostile_paths(spark, tmp_path):
     for name in ("../up", "/etc/x", "a/../../b", "c:\\x"):
         with pytest.raises(S.ArchiveError):

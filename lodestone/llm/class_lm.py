@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -135,9 +136,10 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(pairs: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
+def exchange(pairs: np.ndarray, classes: int, rounds: int | None = None) -> np.ndarray:
     """Classes of units by exchange clustering: each unit in turn, most frequent first, moves to the
-    class where the class-pair likelihood of the training text is highest, until none moves."""
+    class where the class-pair likelihood of the training text is highest, until none moves (or for
+    `rounds` rounds).  A move must gain more than the sums' rounding, or units might move to and fro."""
     k = len(pairs)
     weight = pairs.sum(axis=0) + pairs.sum(axis=1)
     order = np.argsort(-weight, kind="stable")
@@ -147,7 +149,8 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
     member[np.arange(k), of] = 1
     after, before = pairs @ member, pairs.T @ member  # unit -> class, class -> unit
     table = member.T @ after
-    for _ in range(rounds):
+    least = max(1e-6, 1e-12 * float(xlogx(pairs.sum())))
+    for _ in count() if rounds is None else range(rounds):
         moved = 0
         for w in order:
             if weight[w] == 0:
@@ -169,7 +172,7 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
             gain -= xlogx(rows + n_out) - xlogx(rows) + xlogx(columns + n_in) - xlogx(columns)
             # the others' sums don't depend on where w goes
             to = int(gain.argmax())
-            if gain[to] <= gain[was] + 1e-6:
+            if gain[to] <= gain[was] + least:
                 to = was
             base[to, :] += out
             base[:, to] += into

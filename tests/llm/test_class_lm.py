@@ -57,6 +57,14 @@ def test_exchange_finds_alternation():
     assert len({of[0], of[2], of[4], of[6]}) == len({of[1], of[3], of[5], of[7]}) == 1 and of[0] != of[1]
 
 
+def test_exchange_ends_when_no_unit_moves():
+    """This one is still moving units after eight rounds."""
+    pairs = np.random.default_rng(0).poisson(0.5, (120, 120)).astype(float)
+    of = M.exchange(pairs, 8)
+    assert (of != M.exchange(pairs, 8, rounds=8)).any()
+    assert (of == M.exchange(pairs, 8, rounds=1000)).all()
+
+
 def test_beats_base_held_out_and_handles_empty(spark):
     got = M.op4_lm_scores(spark, "/root/testdata/sf0.001").where("held_out").groupBy().sum("score", "base_score").first()
     assert got[0] > got[1]

@@ -37,3 +37,17 @@ def test_stages_against_brute_force(spark):
     at = {i: k for k, i in enumerate(ids)}
     renumbered = [type("R", (), r.asDict() | {"doc_id": at[r.doc_id]}) for r in packed]
     test_packing.check(renumbered, [want[i] for i in ids], 2048)
+
+
+def test_language_stage_rejects_by_distance(spark):
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = ["Все люди рождаются свободными и равными в своем достоинстве и правах", "xqzv wkjq zzxk vqpw jjkx qwzx vvkq xzjw qqkz"]
+    extra = spark.createDataFrame([(900000 + i, t, None, "x", len(t)) for i, t in enumerate(odd)], real.schema)
+    kept = C.identify_language(spark, real.unionByName(extra), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in real.collect())
+
+
+def test_language_stage_without_labels(spark):
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(0, "some words", None, "x", 10), (1, "12 34", None, "x", 5), (2, None, None, "x", 0), (3, "né", None, "x", 2)]
+    assert sorted(r.doc_id for r in C.identify_language(spark, spark.createDataFrame(rows, real.schema), "").collect()) == [0, 3]

@@ -51,14 +51,18 @@ def superstep_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[
                 opened += new
                 gap = capacity
             first, n = pool[gap].pop()
-            take = min(n, left)
-            plan.append((length, rank, first, capacity - gap))
-            if take < n:
-                pool[gap].append((first + take, n - take))
-            pool[gap - length].append((first, take))
-            rank, left = rank + take, left - take
-            # A gap that was just made may be the new successor.
-            gap = min(gap, gap - length) if gap - length >= length else gap
+            # What an item leaves is the next one's successor: gaps are filled one by one, the last with what remains.
+            per = gap // length
+            full = min(n, left // per)
+            rest = left - full * per if full < n else 0
+            for begin, many, each in ((first, full, per), (first + full, min(rest, 1), rest)):
+                if many:
+                    plan += [(length, rank + k * many, begin, capacity - gap + k * length) for k in range(each)]
+                    pool[gap - each * length].append((begin, many))
+                    rank, left = rank + each * many, left - each * many
+            taken = full + min(rest, 1)
+            if taken < n:
+                pool[gap].append((first + taken, n - taken))
     columns = np.array(sorted(plan), dtype=np.int64).reshape(-1, 4).T
     return dict(zip(("length", "rank", "sequence", "offset"), columns, strict=True)) | {"opened": np.array([opened])}
 

@@ -49,6 +49,16 @@ def test_plan_is_best_fit(capacity):
         assert len(used) <= best_fit(lengths, capacity) + 1
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_plan_opens_as_many_as_one_by_one(seed):
+    assert P.superstep_plan({600: 4, 482: 3}, 2048)["opened"][0] == 2
+    r = random.Random(seed)
+    for _ in range(50):
+        capacity = r.choice([7, 50, 200])
+        lengths = [min(capacity, 1 + int(r.expovariate(5 / capacity))) for _ in range(r.randint(0, 300))]
+        assert P.superstep_plan(collections.Counter(lengths), capacity)["opened"][0] == best_fit(lengths, capacity)
+
+
 def check(got, texts, capacity):
     from tokenizers import Tokenizer
 

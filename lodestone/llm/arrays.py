@@ -1,12 +1,13 @@
 """Vectorised text primitives over Arrow string columns.
 
-Texts stay UTF-8 bytes.  All hashes are polynomial prefix sums modulo 2**64,
-so that the hash of any slice costs two lookups, followed by a 64-bit mixer.
+Texts stay UTF-8 bytes.  Words are hashed eight bytes at a time with a mixer after
+each step (long ones by BLAKE2), and windows of symbols by joining the hashes of their halves; there is
+no sum of powers, whose structure lets chosen texts collide.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,53 +22,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(maxsize=8)
-def byte_codes(seed: int) -> np.ndarray:
-    """A random 64-bit code for each byte value."""
-    return mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed * 2 + 1))
+#: Odd multipliers: of what a word's hash begins with, between steps, and of lengths.
+FIRST, STEP, LENGTH = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xD6E8FEB86659FD93)
+#: The bytes that count in the last eight of a word; words beyond LONG bytes are hashed one by one.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+LONG = 64
 
 
-@lru_cache(maxsize=8)
-def ratio(seed: int) -> tuple[int, int]:
-    """An odd multiplier and its inverse modulo 2**64."""
-    r = int(mix(np.array([seed * 977 + 5], dtype=U64))[0]) | 1
-    r = (r & ~7) | 5
-    return r, pow(r, -1, 1 << 64)
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of one sequence followed by another, from their hashes."""
+    return mix((a ^ (a >> U64(31))) * STEP + b)
 
 
-_POWERS: dict = {}
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes that start at each place (and at the end), zeros beyond the text."""
+    held = np.zeros(len(raw) + 8, dtype=np.uint8)
+    held[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", held, 0, (1,))
 
 
-def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """r**0 .. r**n and their inverses; kept for reuse."""
-    have = _POWERS.get(seed)
-    if have is None or len(have[0]) <= n:
-        size = 1 << max(10, int(n).bit_length())
-        out = []
-        for r in ratio(seed):
-            p = np.full(size, r, dtype=U64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _POWERS[seed] = have = tuple(out)
-    return have
+class Windows:
+    """Hashes of the windows of a sequence of symbols, each the join of its first and its last symbols,
+    as many as the greatest power of two that fits.  `width`: the symbols behind each element."""
 
+    def __init__(self, elements: np.ndarray, width: int = 1):
+        self.elements, self.width = elements, width
+        self._level: tuple[int, np.ndarray] = (width, elements)
 
-def prefix_sums(codes: np.ndarray, seed: int) -> np.ndarray:
-    """Prefix sums of codes[i] * r**i, with a leading zero."""
-    out = np.zeros(len(codes) + 1, dtype=U64)
-    np.cumsum(codes * powers(seed, len(codes))[0][: len(codes)], out=out[1:])
-    return out
+    @classmethod
+    def of_bytes(cls, raw: np.ndarray) -> Windows:
+        """Windows of at least eight bytes."""
+        return cls(mix(eights(raw)[: max(0, len(raw) - 7)] + FIRST), 8)
 
+    def level(self, p: int) -> np.ndarray:
+        """The windows of p symbols, p the width times a power of two; the last one asked for is remembered."""
+        have, x = self._level if self._level[0] <= p else (self.width, self.elements)
+        while have < p:
+            x = joined(x[:-have], x[have:])
+            have *= 2
+        self._level = (have, x)
+        return x
 
-def slices(sums: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-    """Mixed hashes of the slices start..end."""
-    raw = (sums[end] - sums[start]) * powers(seed, len(sums))[1][start]
-    return mix(raw + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        n = end - start
+        out = np.zeros(len(n), dtype=U64)
+        power = np.frexp(np.maximum(n // self.width, 1))[1] - 1
+        for k in np.flatnonzero(np.bincount(power)).tolist() if len(n) else ():
+            at = np.flatnonzero(power == k)
+            p = self.width << k
+            x = self.level(p)
+            out[at] = joined(x[start[at]], x[end[at] - p]) + n[at].astype(U64) * LENGTH
+        return out
 
-
-def windows(sums: np.ndarray, start: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Mixed hashes of the windows of k symbols at start."""
-    return slices(sums, start, start + k, seed)
+    def of(self, k: int) -> np.ndarray:
+        """All windows of k symbols, in order."""
+        p = self.width << (k // self.width).bit_length() - 1
+        x = self.level(p)
+        n = len(self.elements) + self.width - k
+        return joined(x[:n], x[k - p : k - p + n]) + U64(k * int(LENGTH) & (1 << 64) - 1) if n > 0 else np.zeros(0, U64)
 
 
 def in_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,15 +93,15 @@ def in_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def parts(batch: pa.RecordBatch, text: str, most: int = 2_000_000):
-    """Row ranges of a batch with about so many bytes of text each (one row at least)."""
+def parts(batch: pa.RecordBatch, text: str, most: int = 2_000_000, rows: int = 1 << 30):
+    """Row ranges of a batch with about so many bytes of text, and rows, at most (one row at least)."""
     n = batch.num_rows
     if not n:
         return
     _, off = in_bytes(batch.column(text))
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(off, off[at] + most, side="right")) - 1)
+        to = min(at + rows, max(at + 1, int(np.searchsorted(off, off[at] + most, side="right")) - 1))
         yield batch.slice(at, to - at)
         at = to
 
@@ -128,7 +140,60 @@ def words(raw: np.ndarray, off: np.ndarray, pattern: str) -> tuple[np.ndarray, n
 
 def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
-    return slices(prefix_sums(byte_codes(seed)[raw], seed), start, end, seed)
+    n = end - start
+    h = mix(n.astype(U64) * LENGTH + U64(seed * int(FIRST) & (1 << 64) - 1))
+    chunk = eights(raw)
+    long = np.flatnonzero(n > LONG)
+    live, at, left = np.arange(len(n)), start, n
+    if len(long):
+        live = np.flatnonzero(n <= LONG)
+        at, left = start[live], n[live]
+    whole = len(live) == len(n)
+    while len(live):
+        c = chunk[at] & MASKS[np.minimum(left, 8)]
+        if whole:
+            h = mix((h ^ c) * STEP + FIRST)
+        else:
+            h[live] = mix((h[live] ^ c) * STEP + FIRST)
+        more = left > 8
+        live, at, left, whole = live[more], at[more] + 8, left[more] - 8, False
+    for i in long.tolist():
+        h[i] = int.from_bytes(blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8, key=bytes([seed])).digest(), "little")
+    return h
+
+
+def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Are the n bytes of a from a_start those of b from b_start?  (Pairs of slices, as arrays.)"""
+    same = np.ones(len(n), dtype=bool)
+    x, y = eights(a), eights(b)
+    long = np.flatnonzero(n > LONG)
+    live = np.flatnonzero((n > 0) & (n <= LONG))
+    done = 0
+    while len(live):
+        mask = MASKS[np.minimum(n[live] - done, 8)]
+        same[live] &= (x[a_start[live] + done] & mask) == (y[b_start[live] + done] & mask)
+        done += 8
+        live = live[n[live] > done]
+    for i in long.tolist():
+        same[i] = a[a_start[i] : a_start[i] + n[i]].tobytes() == b[b_start[i] : b_start[i] + n[i]].tobytes()
+    return same
+
+
+def distinct(raw: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct word, and for each word which one it is.  Equal hashes are held
+    against the bytes; should they ever differ, the bytes alone decide."""
+    _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+    first = one[which]
+    n = end - start
+    if not ((n == n[first]).all() and same_bytes(raw, start, raw, start[first], n).all()):
+        known: dict[bytes, int] = {}
+        one_, which = [], np.empty(len(n), dtype=np.int64)
+        for i, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+            which[i] = known.setdefault(raw[a:b].tobytes(), len(known))
+            if which[i] == len(one_):
+                one_.append(i)
+        one = np.array(one_, dtype=np.int64)
+    return one, which
 
 
 def owners(off: np.ndarray) -> np.ndarray:

@@ -19,24 +19,26 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, in_bytes, mix, owners, parts, prefix_sums, ranges, slices, word_hashes, words
+from .arrays import LOWER, Windows, in_bytes, mix, owners, parts, ranges, word_hashes, words
 from .session import bounded, read
 
 #: Bins and bits kept of each.
 BINS, BITS, SHINGLE = 256, 8, 5
+#: Rows and bytes of text that are sketched together, at most (one row at least).
+ROWS, BYTES = 4096, 2_000_000
 U64 = np.uint64
 
 
-def shingle_hashes(raw: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(raw: np.ndarray, off: np.ndarray, k: int = SHINGLE, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word shingles of each row, and row offsets; fewer words are one shingle, none is none."""
     start, end, woff = words(LOWER[raw], off, "space")
-    codes = word_hashes(LOWER[raw], start, end)
+    codes = word_hashes(LOWER[raw], start, end, seed)
     n = np.diff(woff)
     many = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
     first = ranges(woff[:-1], many)
     length = np.repeat(np.minimum(n, k), many)
     soff = np.concatenate([[0], np.cumsum(many)])
-    return slices(prefix_sums(codes, 2), first, first + length, 2), soff
+    return Windows(codes).slices(first, first + length), soff
 
 
 def sketch(raw: np.ndarray, off: np.ndarray, bins: int = BINS, bits: int = BITS, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -47,9 +49,13 @@ def sketch(raw: np.ndarray, off: np.ndarray, bins: int = BINS, bits: int = BITS,
     none = U64(0xFFFFFFFFFFFFFFFF)
     least = np.full(n * bins, none, dtype=U64)
     np.minimum.at(least, owners(soff) * bins + (hashes >> shift).astype(np.int64), hashes & U64((1 << int(shift)) - 1))
-    full = np.diff(soff) > 0
+    there = (least != none).reshape(n, bins)
+    full = there.any(axis=1)
     filled = least.copy()
-    row, bin_ = np.divmod(np.flatnonzero((least == none) & np.repeat(full, bins)), bins)
+    # Where one bin is full, every sequence ends there.
+    single = np.flatnonzero(there.sum(axis=1) == 1)
+    filled.reshape(n, bins)[single] = least.reshape(n, bins)[single, there[single].argmax(axis=1)][:, None]
+    row, bin_ = np.nonzero(~there & (there.sum(axis=1) > 1)[:, None])
     turn = 0
     while len(row):
         turn += 1
@@ -81,7 +87,7 @@ def fingerprints(docs: DataFrame, text: str = "text", bins: int = BINS, bits: in
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, text):
+            for part in parts(batch, text, BYTES, ROWS):
                 raw, off = in_bytes(part.column(text))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(packed(*sketch(raw, off, bins, bits, k)), pa.string())], names=[*part.schema.names, "fingerprint"])
 
@@ -178,7 +184,7 @@ def edited_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
                 body = unpack(r[3]) if len(r[3]) else b""
                 rows.append((r[0], r[1], r[2], body))
                 held += len(body)
-                if held > 2_000_000 and len(rows) > 1:
+                if (held > BYTES or len(rows) > ROWS) and len(rows) > 1:
                     yield flush(rows)
                     rows, held = rows[-1:], len(body)
         if len(rows) > 1:

@@ -7,11 +7,13 @@ where that sum can reach the overlap asked for.  Pairs that survive are verified
 whole texts.
 
 A tree over all documents wouldn't part them (most points of a size lie close), so
-each tree holds the documents that share one shingle of their prefixes: sets that
-are alike enough must share one among their first few in any one order of
-shingles, and the order here puts frequent shingles last.  Equal sets are one point.  Documents
-already linked through a common neighbour aren't compared again, as only
-which documents reach each other is asked for.
+documents are gathered first: sets that are alike enough must share a shingle among their
+first few in any one order of shingles (frequent ones come last here), and all documents that
+share such a shingle gather around the least of them, its centre.  A gathering is
+linked where it lies: what is alike to the centre needs no further comparison, the rest
+searches the gathering's tree, and of pairs found alike only those are returned that connect
+what wasn't connected yet.  Links are thus linear in the documents gathered, however
+large a group of copies is.  Equal sets are one point.
 """
 
 from __future__ import annotations
@@ -20,31 +22,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import in_bytes, mix, owners, parts, signed
+from .arrays import in_bytes, mix, owners, parts, ranges, signed
 from .bodies import packed
 from .components import components
 from .fingerprints import shingle_hashes
-from .session import LEAST, bounded, doc_ids, identified, kept, read
+from .session import LEAST, bounded, discard, doc_ids, identified, kept, read
 
 U64 = np.uint64
-#: Words in a shingle; the similarity as a fraction; groups of a point.
-SHINGLE, NUM, DEN, GROUPS = 5, 3, 4, 128
+#: Words in a shingle; the similarity as a fraction; groups of a point, at least and at most.
+SHINGLE, NUM, DEN, GROUPS, MOST_GROUPS = 5, 3, 4, 128, 2048
 #: Shingles are counted below this share of the hash range; prefixes seldom go beyond.
 COUNTED = 0.3
 COUNTED_BELOW = int(COUNTED * 2**63)
 #: Shingles in more documents than this, or than one in so many documents, are frequent; of these at most so many are sent to tasks.
 FREQUENT, FREQUENT_SHARE, SENT = 200, 5000, 1_000_000
-#: Points in a tree at most; larger buckets are dealt to several trees.
-TREE = 4000
+#: Shingles (and as much again for each row) that a task holds of a gathering; larger ones are dealt to several tasks.
+HELD, ROW = 1_000_000, 64
 
 
-def sets(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+def sets(part: pa.RecordBatch, k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct shingle hashes (63 bits), ascending, and row offsets."""
     raw, off = in_bytes(part.column("text"))
-    hashes, soff = shingle_hashes(raw, off, k)
+    hashes, soff = shingle_hashes(raw, off, k, seed)
     hashes = hashes >> U64(1)
     own = owners(soff)
     order = np.argsort(hashes)
@@ -60,48 +63,24 @@ def by_row(own: np.ndarray, rows: int) -> np.ndarray:
     return np.argsort(own.astype(np.uint16) if rows < 1 << 16 else own, kind="stable")
 
 
-def coded(counts: np.ndarray) -> bytes:
-    """Counts as a byte each, and a power of two that they are multiples of, rounded up: a bound from above."""
-    shift = 0
-    while (int(counts.max(initial=0)) + (1 << shift) - 1) >> shift > 255:
-        shift += 1
-    return ((counts + (1 << shift) - 1) >> shift).astype(np.uint8).tobytes() + bytes([shift])
+def points(hashes: np.ndarray, off: np.ndarray, groups: int) -> np.ndarray:
+    """The number of shingles in each group (a power of two of them), a row for each set."""
+    at = owners(off) * groups + (mix(hashes) >> U64(65 - groups.bit_length())).astype(np.int64)
+    count = np.bincount(at, minlength=(len(off) - 1) * groups).reshape(-1, groups)
+    return count.astype(np.uint8 if count.max(initial=0) < 256 else np.int32)
 
 
-def decoded(point: bytes) -> np.ndarray:
-    return np.frombuffer(point, np.uint8, len(point) - 1).astype(np.int32) << point[-1]
-
-
-def finest(n: int, groups: int) -> int:
-    """Groups of a set's fine point: a power of two, one for eight shingles or so."""
-    return max(groups, 1 << (max(n, 1) // 8).bit_length())
-
-
-def grouped(hashes: np.ndarray, groups: int) -> np.ndarray:
-    """The number of shingles in each group; groups (a power of two) are ranges of a hash, so that neighbours add up to coarser ones."""
-    return np.bincount((mix(hashes) >> U64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
-
-
-def folded(counts: np.ndarray, groups: int) -> np.ndarray:
-    return counts.reshape(groups, -1).sum(axis=1)
-
-
-def sizes(docs: DataFrame, k: int, groups: int) -> DataFrame:
-    """(doc, th, n, f1, f2, point, fine): size, fingerprint, point and fine point of each document's set."""
+def sizes(docs: DataFrame, k: int) -> DataFrame:
+    """(doc, th, n, f1, f2): size and fingerprint (128 bits) of each document's set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, "text"):
                 hashes, soff = sets(part, k)
                 f = [np.diff(np.concatenate([[U64(0)], np.cumsum(mix(hashes + U64(s)))])[soff]) for s in (1, 2)]
-                fine, point = [], []
-                for a, b in zip(soff[:-1].tolist(), soff[1:].tolist(), strict=True):
-                    counts = grouped(hashes[a:b], finest(b - a, groups))
-                    fine.append(coded(counts))
-                    point.append(coded(folded(counts, groups)))
-                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("th"), pa.array(np.diff(soff)), *(pa.array(signed(np.ascontiguousarray(x))) for x in f), pa.array(point, pa.binary()), pa.array(fine, pa.binary())], names=["doc", "th", "n", "f1", "f2", "point", "fine"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("th"), pa.array(np.diff(soff)), *(pa.array(signed(np.ascontiguousarray(x))) for x in f)], names=["doc", "th", "n", "f1", "f2"])
 
-    return docs.mapInArrow(scan, "doc long, th long, n long, f1 long, f2 long, point binary, fine binary")
+    return docs.mapInArrow(scan, "doc long, th long, n long, f1 long, f2 long")
 
 
 def count_shingles(docs: DataFrame, k: int) -> DataFrame:
@@ -169,173 +148,177 @@ class CountTree:
         return self.order[nodes]
 
 
-def pairs_of_groups(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All i < j within each of the ranges."""
-    n = ends - starts
-    row = np.repeat(np.arange(len(n)), n)
-    i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    later = n[row] - 1 - i
-    a = np.repeat(starts[row] + i, later)
-    b = np.repeat(starts[row] + i + 1, later) + (np.arange(int(later.sum())) - np.repeat(np.cumsum(later) - later, later))
-    return a, b
+def alike(a, b, both, num: int, den: int):
+    """Is the intersection at least num / den of the union of sets of sizes a and b?"""
+    return both * (num + den) >= num * (a + b)
+
 
+def shared_with(q: np.ndarray, hashes: np.ndarray, off: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How many of q's shingles each of the rows' sets (none empty) has."""
+    n = off[rows + 1] - off[rows]
+    x = hashes[ranges(off[rows], n)]
+    there = np.minimum(np.searchsorted(q, x), len(q) - 1)
+    return np.add.reduceat((q[there] == x).astype(np.int64), np.cumsum(n) - n) if len(rows) else n
 
-def tree_pairs(rows: DataFrame, num: int, den: int, groups: int) -> DataFrame:
-    """(a, b): pairs of points from one tree that may be alike enough, of different labels, one of them a query.
 
-    rows: (key, chunk, query, point?, doc, th, label, size, vector), all rows of a (key, chunk) in one
-    partition and together.
+def group_links(hashes: np.ndarray, off: np.ndarray, label: np.ndarray, query: np.ndarray | None, num: int, den: int, groups: int) -> list[tuple[int, int]]:
+    """Links (i, j) between rows of one gathering, enough to connect all that any path of links connects.
+
+    label: rows of one label are known to be connected (it is changed).  query: pairs without
+    a query row are not looked at; if None, row 0 is the centre, and what isn't alike to it are the queries.
+    """
+    n = np.diff(off)
+    out = []
+
+    def connect(i: int, js: np.ndarray) -> None:
+        for j in js.tolist():
+            if label[i] != label[j]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+
+    if query is None:
+        near = 1 + np.flatnonzero((den * np.minimum(n[0], n[1:]) >= num * np.maximum(n[0], n[1:])) & (label[1:] != label[0]))
+        both = shared_with(hashes[: off[1]], hashes, off, near)
+        connect(0, near[alike(n[0], n[near], both, num, den)])
+        query = label != label[0]
+        if len(n) == 2:
+            return out
+    if not query.any():
+        return out
+    wide = max(groups, min(MOST_GROUPS, 1 << int(2 * n.mean()).bit_length()))
+    vectors = points(hashes, off, wide)
+    tree = CountTree(vectors, n)
+    for q in np.flatnonzero(query).tolist():
+        hits = tree.search(vectors[q], int(n[q]), num, den)
+        hits = hits[(label[hits] != label[q]) & (~query[hits] | (hits > q))]
+        if len(hits):
+            both = shared_with(hashes[off[q] : off[q + 1]], hashes, off, hits)
+            connect(q, hits[alike(n[q], n[hits], both, num, den)])
+    return out
+
+
+LINK = "udoc long, uth long, vdoc long, vth long"
+
+
+def gathered_links(rows: DataFrame, k: int, num: int, den: int, groups: int) -> DataFrame:
+    """Links (u, v) within gatherings, told from the whole texts.
+
+    rows: (cdoc, cth, chunk, first, doc, th, body) and, where labels are known, (ldoc, lth, query); all
+    rows of a (cdoc, cth, chunk) in one partition and together, the centre (first = 0) in front.  Shingles are
+    hashed anew with a seed of their own, so that a pair is never taken for alike because its
+    candidates' hashes met.
     """
+    labelled = "query" in rows.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
         held: list[pa.RecordBatch] = []
-
-        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            if not table.num_rows:
-                return
-            key, chunk, query, label, size = (table.column(c).to_numpy() for c in ("key", "chunk", "query", "label", "size"))
-            coded_ = np.frombuffer(b"".join(table.column("point").to_pylist()), dtype=np.uint8).reshape(-1, groups + 1)
-            vectors = coded_[:, :-1].astype(np.int32 if coded_[:, -1].max() > 7 else np.uint16) << coded_[:, -1:].astype(np.uint16)
-            size = size.astype(np.int64)
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])]))
-            end = np.append(new[1:], len(key))
-            few = end - new <= 48
-            found = []
-            a, b = pairs_of_groups(new[few], end[few])
-            ok = (label[a] != label[b]) & (query[a] | query[b]) & (den * np.minimum(size[a], size[b]) >= num * np.maximum(size[a], size[b]))
-            a, b = a[ok], b[ok]
-            for at in range(0, len(a), 50_000):
-                x, y = a[at : at + 50_000], b[at : at + 50_000]
-                bound = np.minimum(vectors[x], vectors[y]).sum(axis=1, dtype=np.int64)
-                near = bound * (num + den) >= num * (size[x] + size[y])
-                found.append((x[near], y[near]))
-            for s, e in zip(new[~few].tolist(), end[~few].tolist(), strict=True):
-                tree = CountTree(vectors[s:e], size[s:e])
-                for q in (s + np.flatnonzero(query[s:e])).tolist():
-                    hits = s + tree.search(vectors[q], int(size[q]), num, den)
-                    hits = hits[(label[hits] != label[q]) & (~query[hits] | (hits > q))]
-                    found.append((np.full(len(hits), q), hits))
-            x, y = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-            doc, th = (table.column(c).to_numpy() for c in ("doc", "th"))
-            swap = (doc[x] > doc[y]) | ((doc[x] == doc[y]) & (th[x] > th[y]))
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            if len(x):
-                _, one = np.unique(np.stack([doc[x], th[x], doc[y], th[y]]), axis=1, return_index=True)
-                x, y = x[one], y[one]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[x], th[x], doc[y], th[y])], names=["adoc", "ath", "bdoc", "bth"])
+        weight = 0
+
+        def done(table: pa.Table) -> pa.RecordBatch:
+            column = lambda c: table.column(c).to_numpy()
+            doc, th = column("doc"), column("th")
+            _, one, own = np.unique(np.stack([doc, th]), axis=1, return_index=True, return_inverse=True)
+            texts = pa.RecordBatch.from_arrays([pa.array([expand(b.as_py()) for b in table.column("body").take(pa.array(one))], pa.large_binary())], names=["text"])
+            got = [sets(p, k, 2) for p in parts(texts, "text")]
+            all_ = np.concatenate([h for h, _ in got])
+            soff = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in got]))])
+            group = np.stack([column("cdoc"), column("cth"), column("chunk").astype(np.int64)])
+            new = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(axis=0)]))
+            found: list[tuple[int, int]] = []
+            if labelled:
+                _, label = np.unique(np.stack([column("ldoc"), column("lth")]), axis=1, return_inverse=True)
+                query = column("query").astype(bool)
+            for s, e in zip(new.tolist(), [*new[1:].tolist(), len(doc)], strict=True):
+                if e - s > 1:
+                    u = own[s:e]
+                    n = soff[u + 1] - soff[u]
+                    hashes, off = all_[ranges(soff[u], n)], np.concatenate([[0], np.cumsum(n)])
+                    found += [(s + i, s + j) for i, j in group_links(hashes, off, label[s:e].copy() if labelled else np.arange(e - s), query[s:e] if labelled else None, num, den, groups)]
+            i, j = np.array(found, dtype=np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[i], th[i], doc[j], th[j])], names=["udoc", "uth", "vdoc", "vth"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            if sum(h.num_rows for h in held) < 20_000:
+            weight += batch.nbytes
+            if weight < 4_000_000 and sum(h.num_rows for h in held) < 20_000:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
-            key, chunk = table.column("key").to_numpy(), table.column("chunk").to_numpy()
-            last = np.flatnonzero((key != key[-1]) | (chunk != chunk[-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            held[:] = table.slice(cut).to_batches()
-            yield from done(table.slice(0, cut).combine_chunks())
+            differs = np.zeros(table.num_rows, dtype=bool)
+            for c in ("cdoc", "cth", "chunk"):
+                x = table.column(c).to_numpy()
+                differs |= x != x[-1]
+            cut = int(differs.nonzero()[0][-1]) + 1 if differs.any() else 0
+            held = table.slice(cut).to_batches()
+            weight = sum(h.nbytes for h in held)
+            if cut:
+                yield done(table.slice(0, cut))
         if held:
-            yield from done(pa.Table.from_batches(held).combine_chunks())
+            yield done(pa.Table.from_batches(held))
 
-    out = rows.mapInArrow(scan, "adoc long, ath long, bdoc long, bth long").distinct()
-    return out.select(F.struct(F.col("adoc").alias("doc"), F.col("ath").alias("th")).alias("a"), F.struct(F.col("bdoc").alias("doc"), F.col("bth").alias("th")).alias("b"))
-
-
-def within_bound(pairs: DataFrame, fine: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose fine points' coordinate minima add up to the overlap asked for."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in ("apoint", "bpoint", "an", "bn")), strict=True):
-                p, q = decoded(x), decoded(y)
-                g = min(len(p), len(q))
-                bound = int(np.minimum(p if len(p) == g else folded(p, g), q if len(q) == g else folded(q, g)).sum())
-                good.append(bound * (num + den) >= num * (m + n))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    side = lambda x: fine.select(F.struct("doc", "th").alias(x), F.col("fine").alias(f"{x}point"), F.col("n").alias(f"{x}n"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "apoint", "bpoint", "an", "bn")
-    kind = "struct<doc:bigint,th:bigint>"
-    return met.mapInArrow(scan, f"a {kind}, b {kind}")
-
-
-def verified(pairs: DataFrame, bodies: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) among (a, b) that are alike enough, told from their whole texts."""
-    import zstandard
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor().decompress
-        known: dict[bytes, np.ndarray] = {}
-
-        def own(body: bytes) -> np.ndarray:
-            if body not in known:
-                if len(known) > 300:
-                    known.clear()
-                part = pa.RecordBatch.from_arrays([pa.array([expand(body)], pa.binary())], names=["text"])
-                known[body] = sets(part, k)[0]
-            return known[body]
-
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("abody"), batch.column("bbody"), strict=True):
-                s, t = own(x.as_py()), own(y.as_py())
-                both = len(s) + len(t) - len(np.union1d(s, t))
-                good.append(both * (num + den) >= num * (len(s) + len(t)) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    side = lambda x: bodies.select(F.struct("doc", "th").alias(x), F.col("body").alias(f"{x}body"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "abody", "bbody")
-    kind = "struct<doc:bigint,th:bigint>"
-    return met.mapInArrow(scan, f"u {kind}, v {kind}")
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(tasks, "cdoc", "cth", "chunk").sortWithinPartitions("cdoc", "cth", "chunk", "first", "doc", "th")
+    return dealt.mapInArrow(scan, LINK).select(vertex("udoc", "uth").alias("u"), vertex("vdoc", "vth").alias("v"))
 
 
 def vertex(doc: str = "doc", th: str = "th") -> Column:
     return F.struct(F.col(doc).alias("doc"), F.col(th).alias("th"))
 
 
+def gatherings(buckets: DataFrame) -> DataFrame:
+    """(cdoc, cth, doc, th, chunks): whoever shares a bucket with the least document of it, the centre, once."""
+    centres = kept(buckets.groupBy("key").agg(F.min(vertex()).alias("c"), F.max(vertex()).alias("last")).where("c < last").select("key", F.col("c.doc").alias("cdoc"), F.col("c.th").alias("cth")))
+    members = kept(buckets.join(centres, "key").groupBy("cdoc", "cth", "doc", "th").agg(F.max("size").alias("size")))
+    chunks = kept(members.groupBy("cdoc", "cth").agg(F.ceil(F.sum(F.col("size") + ROW) / HELD).cast("int").alias("chunks")).where("chunks > 1"))
+    discard(centres)
+    return members.drop("size").join(chunks, ["cdoc", "cth"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+
+
 def links_and_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN, groups: int = GROUPS) -> tuple[DataFrame, DataFrame]:
     """links (u, v) between distinct sets, enough of them to tell which reach each other, and
     members (doc, th, n, rep): each document's set by its first document.  docs is what identified() gives.
 
     Each link is verified, and any two linked sets are joined by some path of the links returned.
     """
-    spark = docs.sparkSession
-    known = kept(sizes(docs, k, groups))
+    known = kept(sizes(docs, k))
     classes = known.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(vertex()).alias("rep"))
     members = kept(known.join(classes, ["f1", "f2", "n"], "left").select("doc", "th", "n", F.coalesce("rep", vertex()).alias("rep")))
-    reps = kept(known.where("n > 0").select("doc", "th", "n", "point", "fine").join(members.select(F.col("rep.doc").alias("doc"), F.col("rep.th").alias("th")).distinct(), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]))
+    n_docs = known.count()
+    discard(known)
+    reps = kept(members.where("n > 0").select("rep.doc", "rep.th").distinct())
     shared = kept(count_shingles(docs, k).where("n > 1"))
-    often = max(FREQUENT, known.count() // FREQUENT_SHARE)
+    often = max(FREQUENT, n_docs // FREQUENT_SHARE)
     while shared.where(F.col("n") > often).count() > SENT:
         often *= 2
     frequent = np.sort(np.array([r.key for r in shared.where(F.col("n") > often).select("key").collect()], dtype=np.int64).view(U64))
     first = prefixes(docs, k, num, den, frequent).join(shared, "key", "left").where(F.col("n").isNotNull() | (F.col("key") >= COUNTED_BELOW))
-    buckets = kept(first.select("key", "doc", "th", "size").join(reps.select("doc", "th"), ["doc", "th"], "left_semi"))
-    bodies = packed(docs).dropDuplicates(["doc", "th"]) if docs_repeat(members) else packed(docs)
-    # First each document against the least one of its buckets: most groups of copies are told by that.
-    centres = buckets.groupBy("key").agg(F.min(F.struct("doc", "th", "size")).alias("c"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    alike = (den * F.least("size", "c.size") >= num * F.greatest("size", "c.size")) & (vertex() != vertex("c.doc", "c.th"))
-    stars = buckets.join(centres, "key").where(alike).select(vertex("c.doc", "c.th").alias("a"), vertex().alias("b")).distinct()
-    first_links = kept(verified(within_bound(stars, reps, num, den), bodies, k, num, den))
-    label = first_links.groupBy("v").agg(F.min("u").alias("u"))
-    up = label.select(F.col("v").alias("w"), F.col("u").alias("top"))
-    label = label.join(up, label["u"] == up["w"], "left").select(F.col("v.doc").alias("doc"), F.col("v.th").alias("th"), F.coalesce("top", "u").alias("label"))
-    # Then whoever shares a bucket with documents of another label.
-    labelled = kept(buckets.join(label, ["doc", "th"], "left").withColumn("label", F.coalesce("label", vertex())))
-    per = labelled.groupBy("key", "label").agg(F.count("*").alias("rows"))
-    mixed = per.groupBy("key").agg(F.max_by("label", "rows").alias("main"), F.count("*").alias("labels"), F.sum("rows").alias("rows")).where("labels > 1").drop("labels")
-    chunks = F.ceil(F.col("rows") / TREE).cast("int")
-    dealt = labelled.join(mixed, "key").withColumn("query", F.col("label") != F.col("main")).join(reps.select("doc", "th", "point"), ["doc", "th"])
-    own = F.pmod(F.xxhash64("doc", "th"), chunks).cast("int")
-    everywhere = F.when(F.col("query"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(own))
-    rows = dealt.select("key", F.explode(everywhere).alias("chunk"), "query", "doc", "th", F.xxhash64("label").alias("label"), "size", "point")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    candidates = tree_pairs(rows.repartition(tasks, "key", "chunk").sortWithinPartitions("key", "chunk"), num, den, groups)
-    more_links = kept(verified(within_bound(candidates, reps, num, den), bodies, k, num, den))
-    return first_links.unionByName(more_links), members
+    buckets = kept(first.select("key", "doc", "th", "size").join(reps, ["doc", "th"], "left_semi"))
+    discard(shared, reps)
+    around = kept(gatherings(buckets))
+    discard(buckets)
+    once = packed(docs.dropDuplicates(["doc", "th"]) if docs_repeat(members) else docs)
+    bodies = kept(once.join(around.select("doc", "th").distinct(), ["doc", "th"], "left_semi"))
+    own = F.pmod(F.xxhash64("doc", "th"), F.col("chunks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    centre = vertex() == vertex("cdoc", "cth")
+    rows = around.select("cdoc", "cth", F.explode(F.when(centre, every).otherwise(F.array(own))).alias("chunk"), F.when(centre, 0).otherwise(1).alias("first"), "doc", "th")
+    links = kept(gathered_links(rows.join(bodies, ["doc", "th"]), k, num, den, groups))
+    dealt = around.where("chunks > 1")
+    if dealt.isEmpty():
+        discard(around, bodies)
+        return links, members
+    # Gatherings that several tasks share: what isn't linked with the centre goes to all of them.
+    roots = components(links)
+    label = dealt.withColumn("u", vertex()).join(roots, "u", "left").withColumn("root", F.coalesce("root", "u")).drop("u")
+    main = label.where(centre).select("cdoc", "cth", F.col("root").alias("main"))
+    asked = label.join(main, ["cdoc", "cth"]).withColumn("query", F.col("root") != F.col("main"))
+    rows = asked.select("cdoc", "cth", F.explode(F.when(F.col("query"), every).otherwise(F.array(own))).alias("chunk"), F.lit(1).alias("first"), "doc", "th", F.col("root.doc").alias("ldoc"), F.col("root.th").alias("lth"), "query")
+    more = kept(gathered_links(rows.join(bodies, ["doc", "th"]), k, num, den, groups))
+    discard(around, bodies)
+    return links.unionByName(more), members
 
 
 def docs_repeat(members: DataFrame) -> bool:

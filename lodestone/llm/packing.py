@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, in_bytes, parts, ranges, word_hashes
+from .arrays import LOWER, distinct, in_bytes, parts, ranges, same_bytes, word_hashes
 from .session import bounded, doc_ids, identified, kept, read
 
 #: Tokens in a sequence; the token after each document; shares of a length that are ranked apart.

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import byte_codes, covered, in_bytes, parts, prefix_sums, ranges, signed, slices
+from .arrays import Windows, covered, in_bytes, parts, ranges, signed
 from .bodies import packed, unpacked
-from .session import bounded, doc_ids, identified, kept, read
+from .session import bounded, discard, doc_ids, identified, kept, read
 
 U64 = np.uint64
 #: Bytes of a string, bytes of a trigger, mean bytes from trigger to trigger, suffixes that share a core.
@@ -56,7 +56,7 @@ def cores(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, spacing: int =
     more with triggers DENSER times as frequent; without those, too, each is a block of its own.
     """
     at, row = triggers(raw, off, spacing)
-    sums = prefix_sums(byte_codes(4)[raw], 4)
+    windows = Windows.of_bytes(raw)
     first = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
     # Strings whose first trigger is this one start after the one before, or with the row.
     since = np.where(first, off[row], np.concatenate([[0], at[:-1] + 1])[: len(at)])
@@ -68,9 +68,9 @@ def cores(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, spacing: int =
     far = np.minimum(b * block + block - 1, most[which])
     near = np.maximum(b * block, least[which])
     x = at[which]
-    key = slices(sums, x - b * block, x - b * block + length - block + 1, 4) + b.astype(U64) + U64(level << 32)
+    key = windows.slices(x - b * block, x - b * block + length - block + 1) + b.astype(U64) + U64(level << 32)
     s, t, rows = x - far, x - near, row[which]
-    h = slices(sums, s, t + length, 4) + far.astype(U64) * U64(1000003) + near.astype(U64)
+    h = windows.slices(s, t + length) + far.astype(U64) * U64(1000003) + near.astype(U64)
     # Strings without a trigger: far before the next one, or after the last.
     n_rows = len(off) - 1
     last = np.full(n_rows, -1, np.int64)
@@ -85,7 +85,7 @@ def cores(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, spacing: int =
         more = {"row": bare_row[inner["row"]], "s": bare_from[inner["row"]] + inner["s"], "t": bare_from[inner["row"]] + inner["t"], "key": inner["key"], "h": inner["h"]}
     else:
         alone = ranges(bare_from, m)
-        own = slices(sums, alone, alone + length, 4)
+        own = windows.slices(alone, alone + length)
         more = {"row": np.repeat(bare_row, m), "s": alone, "t": alone, "key": own ^ U64(0x5BD1E995), "h": own}
     rows = np.concatenate([rows, more["row"]])
     cat = lambda a, c: np.concatenate([a, more[c]])
@@ -118,7 +118,7 @@ def single_strings(extents: DataFrame, bodies: DataFrame, length: int) -> DataFr
         for batch, texts in unpacked(batches):
             off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
             raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
-            sums = prefix_sums(byte_codes(9)[raw], 9)
+            strings = Windows.of_bytes(raw)
             listed = batch.column("extents")
             flat = listed.flatten()
             key, s, t, alone = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
@@ -128,7 +128,7 @@ def single_strings(extents: DataFrame, bodies: DataFrame, length: int) -> DataFr
             at = ranges(s, n)
             start = at + off[row[which]]
             rows = pa.array(row[which])
-            yield pa.RecordBatch.from_arrays([pa.array(key[which]), pa.array(signed(slices(sums, start, start + length, 9))), batch.column("doc").take(rows), batch.column("th").take(rows), pa.array(at, pa.int32()), pa.array(alone[which], pa.bool_())], names=["key", "e", "doc", "th", "s", "alone"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[which]), pa.array(signed(strings.slices(start, start + length))), batch.column("doc").take(rows), batch.column("th").take(rows), pa.array(at, pa.int32()), pa.array(alone[which], pa.bool_())], names=["key", "e", "doc", "th", "s", "alone"])
 
     return by_doc.join(bodies, ["doc", "th"]).mapInArrow(scan, "key long, e long, doc long, th long, s int, alone boolean")
 

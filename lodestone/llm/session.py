@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -19,23 +18,48 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the folder that the cluster shares (spark.checkpoint.dir) and
-    reads it again, which cuts its lineage.  Only where that setting is missing, as in tests, is a
-    folder made up."""
-    spark = df.sparkSession
+#: Spark then removes what an execution has shuffled as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares (spark.checkpoint.dir).  Only on one machine, as in tests, is one
+    made up where that setting is missing."""
     folder = spark.sparkContext._jsc.sc().getCheckpointDir()
     if folder.isDefined():
-        root = folder.get()
-    else:
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    # What the write has shuffled isn't needed any more; Spark drops it once the driver's garbage is collected.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+        return folder.get()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="lodestone-")
+    spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it again, which cuts its lineage."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodestone_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that kept() wrote and that nothing will read any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._lodestone_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -1,31 +1,32 @@
 """Repeated word windows by De Bruijn compaction.
 
-Every window of k consecutive words is an edge.  Around each word m-mer that is
-the least of its windows, the consecutive edges of a document form a path that,
-as far as that document knows, doesn't branch.  Paths are counted and compacted by
-joins: where all occurrences of a repeated m-mer run along one same path, that
-path stands for all its edges at once.  Where paths around an m-mer differ, the
-graph branches; only there are single edges compared, one copy of each distinct
-path.  The source coordinates kept with each path decide which occurrence is the
-first one.
+Every window of k consecutive words is an edge from its first k - 1 words to its last
+k - 1, its nodes.  A node where occurrences differ in the word before or the word after
+branches, as does one that occurs once; between such nodes a path doesn't branch, and all its
+edges occur equally often, one after the other.  Nodes are counted and their branches told by
+minima and maxima, a join marks the branching places of each document, and what lies between two of
+them is one occurrence of one compacted path.  The source coordinates of a path's occurrences
+must agree on its length, and decide which of them is the first.
+
+Edges that can't repeat are left out beforehand: of each window's word m-mers the least one
+(its minimizer) is counted, and only windows whose minimizer occurs again go into the graph.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import covered, in_bytes, owners, parts, prefix_sums, ranges, signed, slices, windows, word_hashes, words
+from .arrays import Windows, covered, in_bytes, owners, parts, signed, word_hashes, words
 from .bodies import packed, unpacked
-from .session import bounded, doc_ids, identified, kept, read
+from .session import bounded, discard, doc_ids, identified, kept, read
 
 U64 = np.uint64
-#: Words in a window, and in the m-mers that paths are grouped by.
+#: Words in a window, and in the m-mers that tell which windows may repeat.
 WINDOW, MER = 20, 8
 #: Low bits that hold a position while minima are taken; the other bits hold the hash.
 PLACE = 32
@@ -39,14 +40,13 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def paths(codes: np.ndarray, woff: np.ndarray, window: int, mer: int) -> dict[str, np.ndarray]:
-    """The paths of all rows: row, first word (from the row's start), number of edges, and the
-    hashes of the m-mer and of the whole path."""
+def stretches(codes: np.ndarray, woff: np.ndarray, window: int, mer: int) -> dict[str, np.ndarray]:
+    """Consecutive windows with one minimizer: row, first word (from the row's start), number of
+    windows, and the hash of the minimizer."""
     n = len(codes)
     if n < window:
-        return {k: np.zeros(0, np.int64) for k in ("row", "s", "len")} | {k: np.zeros(0, U64) for k in ("key", "h")}
-    sums = prefix_sums(codes, 3)
-    mers = windows(sums, np.arange(n - mer + 1), mer, 3)
+        return {k: np.zeros(0, np.int64) for k in ("row", "s", "len")} | {"key": np.zeros(0, U64)}
+    mers = Windows(codes).of(mer)
     ordered = (mers & ~U64((1 << PLACE) - 1)) | np.arange(len(mers), dtype=U64)
     least = (sliding_min(ordered, window - mer + 1) & U64((1 << PLACE) - 1)).astype(np.int64)
     row = owners(woff)
@@ -54,79 +54,100 @@ def paths(codes: np.ndarray, woff: np.ndarray, window: int, mer: int) -> dict[st
     at = least[edge]
     new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
     first, length, at = edge[new], np.diff(np.append(new, len(at))), at[new]
-    h = slices(sums, first, first + length + window - 1, 3) + length.astype(U64) * U64(64) + (at - first).astype(U64)
-    return {"row": row[first], "s": first - woff[row[first]], "len": length, "key": mers[at], "h": h}
+    return {"row": row[first], "s": first - woff[row[first]], "len": length, "key": mers[at]}
 
 
-def read_paths(docs: DataFrame, window: int, mer: int, keys_only: bool) -> DataFrame:
-    """(key, h, len, doc, th, s) of all paths, or (key, n) of their m-mers."""
+def read_stretches(docs: DataFrame, window: int, mer: int, keys_only: bool) -> DataFrame:
+    """(key, doc, th, s, len) of all stretches, or (key, n) of their minimizers."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, "text", 4_000_000):
                 raw, off = in_bytes(part.column("text"))
                 start, end, woff = words(raw, off, "space")
-                p = paths(word_hashes(raw, start, end), woff, window, mer)
+                p = stretches(word_hashes(raw, start, end), woff, window, mer)
                 if keys_only:
                     key, n = np.unique(p["key"], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(n, pa.int32())], names=["key", "n"])
                     continue
                 rows = pa.array(p["row"])
-                columns = [pa.array(signed(p["key"])), pa.array(signed(p["h"])), pa.array(p["len"], pa.int16()), part.column("doc").take(rows), part.column("th").take(rows), pa.array(p["s"], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "h", "len", "doc", "th", "s"])
+                columns = [pa.array(signed(p["key"])), part.column("doc").take(rows), part.column("th").take(rows), pa.array(p["s"], pa.int32()), pa.array(p["len"], pa.int16())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "th", "s", "len"])
 
-    return docs.mapInArrow(scan, "key long, n int" if keys_only else "key long, h long, len short, doc long, th long, s int")
+    return docs.mapInArrow(scan, "key long, n int" if keys_only else "key long, doc long, th long, s int, len short")
 
 
-def branch_edges(firsts: DataFrame, bodies: DataFrame, window: int) -> DataFrame:
-    """(key, e, doc, th, s): the single edges of the given paths, read from the texts they start in."""
-    by_doc = firsts.groupBy("doc", "th").agg(F.collect_list(F.struct("key", "s", "len")).alias("paths"))
+#: The words before a text and after it.
+BEFORE, AFTER = U64(0xBE), U64(0xAF)
+
+
+def read_nodes(candidates: DataFrame, bodies: DataFrame, window: int) -> DataFrame:
+    """(a, b, before, after, doc, th, s, edge, cut): the nodes at either end of each candidate edge.
+
+    a and b: two hashes of the node's words; before and after: the neighbouring words; s: its first word; edge: an edge
+    of the graph starts here; cut: this is an end of consecutive edges.
+    """
+    by_doc = candidates.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "len")).alias("stretches"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in unpacked(batches):
             off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
             raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
             start, end, woff = words(raw, off, "space")
-            sums = prefix_sums(word_hashes(raw, start, end, 7), 7)
-            listed = batch.column("paths")
+            codes = word_hashes(raw, start, end)
+            listed = batch.column("stretches")
             flat = listed.flatten()
-            key, s, length = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(listed).to_numpy())
-            which = np.repeat(np.arange(len(s)), length)
-            at = ranges(s, length.astype(np.int64))
-            e = windows(sums, at + woff[row[which]], window, 7)
-            rows = pa.array(row[which])
-            yield pa.RecordBatch.from_arrays([pa.array(key[which]), pa.array(signed(e)), batch.column("doc").take(rows), batch.column("th").take(rows), pa.array(at, pa.int32())], names=["key", "e", "doc", "th", "s"])
-
-    return by_doc.join(bodies, ["doc", "th"]).mapInArrow(scan, "key long, e long, doc long, th long, s int")
-
-
-COORDINATE = ("doc", "th", "s")
+            s = flat.field(0).to_numpy() + woff[row]
+            edge = covered(len(codes) + 1, s, s + flat.field(1).to_numpy())
+            ended = np.concatenate([[False], edge[:-1]])
+            at = np.flatnonzero(edge | ended)
+            row = np.searchsorted(woff, at, side="right") - 1
+            a, b = (Windows(c).of(window - 1)[at] for c in (codes, word_hashes(raw, start, end, 2)))
+            before = np.where(at > woff[row], codes[at - 1], BEFORE)
+            last = at + window - 1
+            after = np.where(last < woff[row + 1], codes[np.minimum(last, len(codes) - 1)], AFTER)
+            rows = pa.array(row)
+            columns = [*(pa.array(signed(x)) for x in (a, b, before, after)), batch.column("doc").take(rows), batch.column("th").take(rows), pa.array(at - woff[row], pa.int32()), pa.array(edge[at]), pa.array(edge[at] != ended[at])]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "before", "after", "doc", "th", "s", "edge", "cut"])
+
+    return by_doc.join(bodies, ["doc", "th"]).mapInArrow(scan, "a long, b long, before long, after long, doc long, th long, s int, edge boolean, cut boolean")
+
+
+def compacted(nodes: DataFrame) -> DataFrame:
+    """(a, b, after, doc, th, s, len): each occurrence of a path that doesn't branch, named by its first
+    edge; len: its edges."""
+    # Written before the join, so that Spark can split a frequent node's partition.
+    degrees = nodes.groupBy("a", "b").agg(F.count("*").alias("n"), *(f(c).alias(f"{name}_{c}") for c in ("before", "after") for name, f in (("least", F.min), ("most", F.max))))
+    joints = kept(degrees.where("n = 1 or least_before != most_before or least_after != most_after").select("a", "b"))
+    ends = nodes.where("cut").unionByName(nodes.where("not cut").join(joints, ["a", "b"], "left_semi"))
+    following = F.lead("s").over(Window.partitionBy("doc", "th").orderBy("s"))
+    paths = kept(ends.withColumn("len", following - F.col("s")).where("edge").select("a", "b", "after", "doc", "th", "s", "len"))
+    discard(joints)
+    return paths
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
     """(doc, th, start, end) in words: stretches of windows that also start earlier in the corpus.
 
-    docs is what identified() gives.  Spans may overlap.
+    docs is what identified() gives, each document once.
     """
     mer = min(mer, window)
-    coordinate = F.struct(*COORDINATE)
-    keys = read_paths(docs, window, mer, True).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    found = kept(read_paths(docs, window, mer, False).join(keys, "key", "left_semi"))
-    compact = kept(found.groupBy("key", "h", "len").agg(F.min(coordinate).alias("first"), F.count("*").alias("n")))
-    # Along one same path: all but its first occurrence are later ones.
-    later = (
-        found.join(compact.where("n > 1").select("key", "h", "len", "first"), ["key", "h", "len"])
-        .where(coordinate > F.col("first"))
-        .select("doc", "th", F.col("s").alias("start"), (F.col("s") + F.col("len") + (window - 1)).alias("end"))
-    )
-    # At branches: each path's first occurrence, edge by edge, against the other paths.
-    branching = compact.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    firsts = compact.join(branching, "key", "left_semi").select("key", "len", "first.*")
-    edges = kept(branch_edges(firsts, packed(docs), window))
-    shared = edges.groupBy("key", "e").agg(F.min(coordinate).alias("first"), F.max(coordinate).alias("last")).where("first < last")
-    crossing = edges.join(shared.select("key", "e", "first"), ["key", "e"]).where(coordinate > F.col("first")).select("doc", "th", F.col("s").alias("start"), (F.col("s") + window).alias("end"))
-    return later.unionByName(crossing)
+    coordinate = F.struct("doc", "th", "s")
+    keys = kept(read_stretches(docs, window, mer, True).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
+    candidates = kept(read_stretches(docs, window, mer, False).join(keys, "key", "left_semi").select("doc", "th", "s", "len"))
+    discard(keys)
+    nodes = kept(read_nodes(candidates, packed(docs), window))
+    discard(candidates)
+    paths = compacted(nodes)
+    discard(nodes)
+    repeated = paths.groupBy("a", "b", "after").agg(F.min(coordinate).alias("first"), F.count("*").alias("n"), F.min("len").alias("least"), F.max("len").alias("most")).where("n > 1")
+    checked = F.when(F.col("least") == F.col("most"), F.col("first")).otherwise(F.raise_error(F.lit("occurrences of one path differ in length")))
+    firsts = kept(repeated.select("a", "b", "after", checked.alias("first")))
+    later = paths.join(firsts, ["a", "b", "after"]).where(coordinate > F.col("first"))
+    spans = kept(later.select("doc", "th", F.col("s").alias("start"), (F.col("s") + F.col("len") + (window - 1)).alias("end")))
+    discard(paths, firsts)
+    return spans
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -160,8 +181,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, mer: int = MER, text:
     rows that agree in both are one document that is reported as often as it occurs.
     """
     bounded(docs.sparkSession)
-    source, _ = identified(docs, doc_id, text)
-    out = without_spans(source, repeated_spans(source, window, mer))
+    source, unique = identified(docs, doc_id, text)
+    once = source if unique else source.dropDuplicates(["doc", "th"])
+    out = without_spans(source, repeated_spans(once, window, mer))
     return out.select(doc_ids().alias("doc_id"), "n_words", "n_removed", F.col("body").cast("string").alias("text"))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import in_bytes, parts, word_hashes, words
+from .arrays import distinct, in_bytes, parts, word_hashes, words
 from .session import bounded, read
 
 
@@ -117,7 +117,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, text: str = "text", lead
             for part in parts(batch, text, 4_000_000):
                 raw, off = in_bytes(part.column(text))
                 start, end, woff = words(raw, off, "space")
-                _, one, which = np.unique(word_hashes(raw, start, end), return_index=True, return_inverse=True)
+                one, which = distinct(raw, start, end, word_hashes(raw, start, end))
                 per = count_pieces(a, raw, start[one], end[one], first)[which]
                 sums = np.concatenate([[0], np.cumsum(per)])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(woff)), pa.array(np.diff(sums[woff]))], names=[*part.schema.names, "n_words", "n_tokens"])

@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents of which benchmark passages make up a twentieth or more."""
+    """Removes every document that holds a benchmark window, however little of it that is."""
     return decontaminate.remove(docs, read(spark, sf_dir, "benchmark"))
 
 

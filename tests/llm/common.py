@@ -34,3 +34,11 @@ def corpus(seed, n=60, vocabulary=40, longest=120):
 
 def rows(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+def thue_morse(k):
+    """Two different words of 2**k letters that sums of powers modulo 2**64 take for equal, for k of 10 and more."""
+    word = "a"
+    for _ in range(k):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))

@@ -24,7 +24,7 @@ def test_stages_against_brute_force(spark):
     ids = sorted(texts)
     firsts = {ids[c] for _, _, c in test_jaccard.brute([texts[i] for i in ids])}
     ids = [i for i in ids if i in firsts]
-    bad = {ids[r[0]] for r in test_decontaminate.brute([texts[i] for i in ids], items) if r[5]}
+    bad = {ids[r[0]] for r in test_decontaminate.brute([texts[i] for i in ids], items) if r[2]}
     ids = [i for i in ids if i not in bad]
     want = {i: mask(texts[i]) for i in ids}
     for name, stage in C.STAGES[:-1]:

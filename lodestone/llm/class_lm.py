@@ -1,13 +1,16 @@
 """A Brown class-based n-gram language model.
 
-The most frequent words, and the groups of all other words that end alike, are
-the units that exchange clustering assigns to classes so as to raise the
-likelihood of the training text.  A token's probability is its class's, given the
+Exchange clustering assigns every listed word, and the groups of the rarer words that end alike, to classes
+so as to raise the likelihood of the training text.  It begins with the most frequent words,
+exchanged one at a time on the driver until none moves; then all units are exchanged in rounds
+over the whole text: how often each unit stands before and after each class is summed up by
+unit, each unit goes to its best class, and rounds end when the likelihood gains no more
+than `tolerance` a token.  A token's probability is its class's, given the
 class before, times its unit's in the class, times (within a group) the word's in
 the group:  P(class | class before) P(unit | class) P(word | unit).
 
 All counts are taken over all training text.  What reaches the driver is bounded
-by parameters: `listed` words and the pair counts of `units` units.
+by parameters: `listed` words with their classes, and the pair counts of `frequent` words, groups and classes.
 """
 
 from __future__ import annotations
@@ -24,18 +27,21 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, in_bytes, mix, parts, signed, word_hashes, words
 from .language import held_out
-from .session import bounded, identified, kept, read
+from .session import bounded, discard, identified, kept, read
 
 U64 = np.uint64
-#: Words that are units of their own; groups of the other words; classes; words whose counts are sent to every task.
+#: Words that the clustering begins with; groups of the words that aren't listed; classes; listed words: units of their own, sent to every task.
 FREQUENT, GROUPS, CLASSES, LISTED = 500, 256, 48, 200_000
+#: Rounds of exchange go on while the training text gains this much a token, in natural logarithms.
+TOLERANCE = 0.002
 #: The end of a text counts as a token; this is its code.
 END = U64(0xE0D)
 
 
 @dataclass
 class Model:
-    """What scoring needs at each task.  listed: sorted codes with their counts and units."""
+    """What scoring needs at each task.  codes: sorted, with their counts and units (0 is the end, then the
+    listed words, then the groups); classes and log_unit are by unit."""
 
     codes: np.ndarray
     counts: np.ndarray
@@ -48,7 +54,7 @@ class Model:
     classes: np.ndarray
     log_unit: np.ndarray
     log_class: np.ndarray
-    frequent: int
+    listed: int
     groups: int
 
     @property
@@ -102,26 +108,27 @@ def count_words(docs: DataFrame, groups: int) -> DataFrame:
     return docs.select("text").mapInArrow(scan, "code long, grp int, c long").groupBy("code").agg(F.min("grp").alias("grp"), F.sum("c").alias("c"))
 
 
-def unit_ids(codes: np.ndarray, grp: np.ndarray, top: np.ndarray, top_at: np.ndarray) -> np.ndarray:
-    """Units: 0 is the end, then the frequent words in order of count, then the groups."""
-    units = np.where(grp < 0, 0, 1 + len(top) + grp).astype(np.int32)
-    if len(top):
-        there = np.minimum(np.searchsorted(top, codes), len(top) - 1)
-        units = np.where((top[there] == codes) & (grp >= 0), 1 + top_at[there], units)
-    return units
+def units_of(codes: np.ndarray, grp: np.ndarray, listed: np.ndarray, unit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Units (0 is the end, then n listed words, then the groups), and the place among the listed codes or -1."""
+    units = np.where(grp < 0, 0, 1 + n + grp).astype(np.int32)
+    if not len(listed):
+        return units, np.full(len(codes), -1)
+    there = np.minimum(np.searchsorted(listed, codes), len(listed) - 1)
+    there = np.where(listed[there] == codes, there, -1)
+    return np.where(there >= 0, unit[there], units), there
 
 
-def count_pairs(docs: DataFrame, top: np.ndarray, top_at: np.ndarray, groups: int) -> np.ndarray:
-    """How often each unit follows each unit; a text begins after an end."""
+def count_pairs(docs: DataFrame, top: np.ndarray, unit: np.ndarray, groups: int) -> np.ndarray:
+    """How often each unit follows each unit, the units being the words `top` and the groups; a text begins after an end."""
     k = 1 + len(top) + groups
-    sent = docs.sparkSession.sparkContext.broadcast((top, top_at))
+    sent = docs.sparkSession.sparkContext.broadcast((top, unit))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k * k, dtype=np.int64)
         for batch in batches:
             for part in parts(batch, "text"):
                 codes, grp, _ = tokens(part, groups)
-                u = unit_ids(codes, grp, *sent.value).astype(np.int64)
+                u = units_of(codes, grp, *sent.value, k - 1 - groups)[0].astype(np.int64)
                 total += np.bincount(np.concatenate([[0], u[:-1]]) * k + u, minlength=k * k)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there])], names=["pair", "n"])
@@ -132,14 +139,144 @@ def count_pairs(docs: DataFrame, top: np.ndarray, top_at: np.ndarray, groups: in
     return out.reshape(k, k)
 
 
+def count_neighbours(docs: DataFrame, listed: np.ndarray, unit: np.ndarray, n: int, of: np.ndarray, groups: int, classes: int) -> DataFrame:
+    """(unit, counts): for each unit that occurs, how often it stands before each class, after each class, and after itself."""
+    width, end = 2 * classes + 1, len(of)
+    sent = docs.sparkSession.sparkContext.broadcast((listed, unit, of))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, unit, of = sent.value
+        total = np.zeros(end * width, dtype=np.int32)
+        for batch in batches:
+            for part in parts(batch, "text"):
+                codes, grp, _ = tokens(part, groups)
+                u = units_of(codes, grp, listed, unit, n)[0].astype(np.int64)
+                last = np.concatenate([[0], u[:-1]])
+                np.add.at(total, last * width + of[u], 1)
+                np.add.at(total, u * width + classes + of[last], 1)
+                np.add.at(total, u[u == last] * width + 2 * classes, 1)
+        there = np.flatnonzero(total)
+        for at in range(0, len(there), 1_000_000):
+            some = there[at : at + 1_000_000]
+            yield pa.RecordBatch.from_arrays([pa.array((some // width).astype(np.int32)), pa.array((some % width).astype(np.int16)), pa.array(total[some])], names=["unit", "slot", "n"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            key = batch.column("unit").to_numpy().astype(np.int64) * width + batch.column("slot").to_numpy()
+            keys, which = np.unique(np.concatenate([keys, key]), return_inverse=True)
+            sums = np.bincount(which, weights=np.concatenate([sums, batch.column("n").to_numpy()]), minlength=len(keys)).astype(np.int64)
+        units, row = np.unique(keys // width, return_inverse=True)
+        for at in range(0, len(units), 10_000):
+            mine = (row >= at) & (row < at + 10_000)
+            counts = np.zeros((min(10_000, len(units) - at), width), dtype=np.int64)
+            counts[row[mine] - at, keys[mine] % width] = sums[mine]
+            yield pa.RecordBatch.from_arrays([pa.array(units[at : at + 10_000].astype(np.int32)), pa.array([c.tobytes() for c in counts], pa.binary())], names=["unit", "counts"])
+
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select("text").mapInArrow(scan, "unit int, slot short, n int").repartition(tasks, "unit").mapInArrow(meet, "unit int, counts binary")
+
+
+def class_table(counts: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
+    """How often each class follows each class, from count_neighbours()."""
+    sent = counts.sparkSession.sparkContext.broadcast(of)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((classes, classes), dtype=np.int64)
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column("counts").to_pylist()), dtype=np.int64).reshape(-1, 2 * classes + 1)
+            np.add.at(total, sent.value[batch.column("unit").to_numpy()], x[:, :classes])
+        yield pa.RecordBatch.from_arrays([pa.array(range(classes * classes), pa.int32()), pa.array(total.ravel())], names=["pair", "n"])
+
+    got = counts.mapInArrow(scan, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(classes * classes)
+    out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(classes, classes)
+
+
+def exchanged(counts: DataFrame, of: np.ndarray, table: np.ndarray, least: float) -> np.ndarray:
+    """The units' best classes, each as if it alone moved."""
+    sent = counts.sparkSession.sparkContext.broadcast((of, table))
+    classes = len(table)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, table = sent.value
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column("counts").to_pylist()), dtype=np.int64).reshape(-1, 2 * classes + 1).astype(float)
+            units = batch.column("unit").to_numpy()
+            to = [best_class(table, of[u], c[:classes], c[classes:-1], c[-1], least)[0] for u, c in zip(units.tolist(), x, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(to, pa.int32())], names=["unit", "to"])
+
+    got = counts.mapInArrow(scan, "unit int, to int").toArrow()
+    out = of.copy()
+    out[got.column("unit").to_numpy()] = got.column("to").to_numpy()
+    return out
+
+
+def refined(docs: DataFrame, listed: np.ndarray, unit: np.ndarray, n: int, of: np.ndarray, groups: int, classes: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """The units' classes after rounds of exchange over all text, and how often each class follows each."""
+    best = None
+    while True:
+        counts = kept(count_neighbours(docs, listed, unit, n, of, groups, classes))
+        table = class_table(counts, of, classes)
+        now = likelihood(table)
+        gain = np.inf if best is None else now - best[0]
+        if gain > 0:
+            best = (now, of, table)
+        moved = of if gain <= tolerance * table.sum() else exchanged(counts, of, table, rounding(table))
+        discard(counts)
+        if (moved == of).all():
+            return best[1:]
+        of = moved
+
+
+def likelihood(table: np.ndarray) -> float:
+    """What the classes share in the log-likelihood of the text."""
+    return float(xlogx(table).sum() - xlogx(table.sum(axis=0)).sum() - xlogx(table.sum(axis=1)).sum())
+
+
 def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def rounding(table: np.ndarray) -> float:
+    """What a move must gain, lest units move to and fro by the sums' rounding."""
+    return max(1e-6, 1e-12 * float(xlogx(table.sum())))
+
+
+def best_class(table: np.ndarray, was: int, after: np.ndarray, before: np.ndarray, own: float, least: float) -> tuple[int, np.ndarray]:
+    """The class where a unit, now in `was`, makes the class-pair likelihood highest, and the table that this makes.
+
+    after, before: how often the unit stands before and after each class, itself included `own` times.
+    """
+    out, into = after.copy(), before.copy()
+    out[was] -= own
+    into[was] -= own
+    base = table.copy()
+    base[was, :] -= out
+    base[:, was] -= into
+    base[was, was] -= own
+    rows, columns = base.sum(axis=1), base.sum(axis=0)
+    gain = xlogx(base + out[None, :]).sum(axis=1) - xlogx(base).sum(axis=1)
+    gain += xlogx(base + into[:, None]).sum(axis=0) - xlogx(base).sum(axis=0)
+    d = np.diag(base)
+    gain += xlogx(d + out + into + own) - xlogx(d + out) - xlogx(d + into) + xlogx(d)
+    n_out, n_in = out.sum() + own, into.sum() + own
+    gain -= xlogx(rows + n_out) - xlogx(rows) + xlogx(columns + n_in) - xlogx(columns)
+    # the others' sums don't depend on where the unit goes
+    to = int(gain.argmax())
+    if gain[to] <= gain[was] + least:
+        to = int(was)
+    base[to, :] += out
+    base[:, to] += into
+    base[to, to] += own
+    return to, base
+
+
 def exchange(pairs: np.ndarray, classes: int, rounds: int | None = None) -> np.ndarray:
     """Classes of units by exchange clustering: each unit in turn, most frequent first, moves to the
     class where the class-pair likelihood of the training text is highest, until none moves (or for
-    `rounds` rounds).  A move must gain more than the sums' rounding, or units might move to and fro."""
+    `rounds` rounds)."""
     k = len(pairs)
     weight = pairs.sum(axis=0) + pairs.sum(axis=1)
     order = np.argsort(-weight, kind="stable")
@@ -149,35 +286,14 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int | None = None) -> np.n
     member[np.arange(k), of] = 1
     after, before = pairs @ member, pairs.T @ member  # unit -> class, class -> unit
     table = member.T @ after
-    least = max(1e-6, 1e-12 * float(xlogx(pairs.sum())))
+    least = rounding(pairs)
     for _ in count() if rounds is None else range(rounds):
         moved = 0
         for w in order:
             if weight[w] == 0:
                 break
-            own, was = pairs[w, w], of[w]
-            out, into = after[w].copy(), before[w].copy()
-            out[was] -= own
-            into[was] -= own
-            base = table.copy()
-            base[was, :] -= out
-            base[:, was] -= into
-            base[was, was] -= own
-            rows, columns = base.sum(axis=1), base.sum(axis=0)
-            gain = xlogx(base + out[None, :]).sum(axis=1) - xlogx(base).sum(axis=1)
-            gain += xlogx(base + into[:, None]).sum(axis=0) - xlogx(base).sum(axis=0)
-            d = np.diag(base)
-            gain += xlogx(d + out + into + own) - xlogx(d + out) - xlogx(d + into) + xlogx(d)
-            n_out, n_in = out.sum() + own, into.sum() + own
-            gain -= xlogx(rows + n_out) - xlogx(rows) + xlogx(columns + n_in) - xlogx(columns)
-            # the others' sums don't depend on where w goes
-            to = int(gain.argmax())
-            if gain[to] <= gain[was] + least:
-                to = was
-            base[to, :] += out
-            base[:, to] += into
-            base[to, to] += own
-            table = base
+            was = of[w]
+            to, table = best_class(table, was, after[w], before[w], pairs[w, w], least)
             if to != was:
                 moved += 1
                 after[:, was] -= pairs[:, w]
@@ -190,18 +306,15 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int | None = None) -> np.n
     return of
 
 
-def smoothed(pairs: np.ndarray, of: np.ndarray, classes: int, strength: float = 20.0) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of P(class | class before), backed by P(class), and of P(unit | class), plus one."""
-    member = np.zeros((len(pairs), classes))
-    member[np.arange(len(pairs)), of] = 1
-    table = member.T @ pairs @ member
-    alone = (table.sum(axis=0) + 1) / (table.sum() + classes)
+def smoothed(table: np.ndarray, units: np.ndarray, of: np.ndarray, strength: float = 20.0) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of P(class | class before), backed by P(class), and of P(unit | class), plus one; units: how often each occurs."""
+    alone = (table.sum(axis=0) + 1) / (table.sum() + len(table))
     step = (table + strength * alone[None, :]) / (table.sum(axis=1, keepdims=True) + strength)
-    n = pairs.sum(axis=0) + 1
-    return np.log10(step), np.log10(n / (member.T @ n)[of])
+    n = units + 1.0
+    return np.log10(step), np.log10(n / np.bincount(of, weights=n, minlength=len(table))[of])
 
 
-def fit(docs: DataFrame, text: str = "text", frequent: int = FREQUENT, groups: int = GROUPS, classes: int = CLASSES, listed: int = LISTED) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, text: str = "text", frequent: int = FREQUENT, groups: int = GROUPS, classes: int = CLASSES, listed: int = LISTED, tolerance: float = TOLERANCE) -> tuple[Model, DataFrame]:
     """The model of all rows' texts (null: empty), and the table (code, grp, c) of all their words."""
     bounded(docs.sparkSession)
     docs = docs.select(F.col(text).alias("text"))
@@ -218,36 +331,38 @@ def fit(docs: DataFrame, text: str = "text", frequent: int = FREQUENT, groups: i
     rows = counts.where((eighth >= bins) | (F.col("grp") < 0)).toArrow()
     codes, grp, c = (rows.column(x).to_numpy() for x in ("code", "grp", "c"))
     codes = codes.view(U64)
+    place = np.argsort(codes)
+    codes, grp, c = codes[place], grp[place], c[place]
+    word = grp >= 0
+    n = int(word.sum())
+    unit = np.where(word, np.cumsum(word), 0).astype(np.int32)
     by = counts.groupBy("grp").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    group_total, group_distinct = np.zeros(groups), np.zeros(groups)
+    group_total, group_distinct, ends = np.zeros(groups), np.zeros(groups), 0
     for r in by:
         if r.grp >= 0:
             group_total[r.grp], group_distinct[r.grp] = r.c, r.v
+        else:
+            ends = r.c
     total, distinct = sum(r.c for r in by), sum(r.v for r in by)
-    word = np.flatnonzero(grp >= 0)
-    best = word[np.lexsort((codes[word], -c[word]))][:frequent]
-    np.subtract.at(group_total, grp[best], c[best])
-    np.subtract.at(group_distinct, grp[best], 1)
-    place = np.argsort(codes[best])
-    top, top_at = codes[best][place], place.astype(np.int32)
-    pairs = count_pairs(docs, top, top_at, groups)
-    of = exchange(pairs, classes)
-    log_class, log_unit = smoothed(pairs, of, classes)
-    by_code = np.argsort(codes)
-    units = unit_ids(codes, grp, top, top_at)
-    least = int(math.floor(bins))
-    model = Model(codes[by_code], c[by_code], units[by_code], least, int(total), int(distinct), group_total, group_distinct, of, log_unit, log_class, len(top), groups)
-    return model, counts
+    np.subtract.at(group_total, grp[word], c[word])
+    np.subtract.at(group_distinct, grp[word], 1)
+    # The most frequent words first; any other word begins in the class of its group.
+    best = np.flatnonzero(word)[np.lexsort((codes[word], -c[word]))][:frequent]
+    best = np.sort(best)
+    core = exchange(count_pairs(docs, codes[best], np.arange(1, len(best) + 1, dtype=np.int32), groups), classes)
+    first = core[1 + len(best) + grp[word]]
+    first[unit[best] - 1] = core[1 : 1 + len(best)]
+    of = np.concatenate([core[:1], first, core[1 + len(best) :]])
+    of, table = refined(docs, codes, unit, n, of, groups, classes, tolerance)
+    log_class, log_unit = smoothed(table, np.concatenate([[ends], c[word], group_total]), of)
+    return Model(codes, c, unit, bins, int(total), int(distinct), group_total, group_distinct, of, log_unit, log_class, n, groups), counts
 
 
 def lookup(model: Model, codes: np.ndarray, grp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each token: is it listed, its count (0 if not), its unit."""
-    units = np.where(grp < 0, 0, 1 + model.frequent + grp)
-    if not len(model.codes):
-        return np.zeros(len(codes), bool), np.zeros(len(codes), np.int64), units
-    there = np.minimum(np.searchsorted(model.codes, codes), len(model.codes) - 1)
-    known = model.codes[there] == codes
-    return known, np.where(known, model.counts[there], 0), np.where(known, model.units[there], units)
+    units, there = units_of(codes, grp, model.codes, model.units, model.listed)
+    known = there >= 0
+    return known, np.where(known, model.counts[there], 0) if len(model.codes) else np.zeros(len(codes), np.int64), units
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -265,7 +380,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
-        before_group = 1 + m.frequent
+        before_group = 1 + m.listed
         for batch in batches:
             for part in parts(batch, "text"):
                 codes, grp, toff = tokens(part, m.groups)

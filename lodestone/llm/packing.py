@@ -110,7 +110,8 @@ class KnownTokens:
 
     def clear(self) -> None:
         self.hashes, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.at, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.raw = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
     def encode(self, texts: list[str], together: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """All tokens, and how many each text has."""
@@ -131,22 +132,39 @@ class KnownTokens:
             out[begin[k] : begin[k] + size[k]] = e.ids
         return out, size
 
-    def of(self, text: bytes, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens of all fragments in order, and how many each has."""
-        distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) > REMEMBERED:
+    def of(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all fragments in order, and how many each has.  A fragment is known if its bytes are, not only its hash."""
+        one, which = distinct(raw, start, end, hashes)
+        own, first, length = hashes[one], start[one], (end - start)[one]
+        if len(self.hashes) > REMEMBERED or len(self.raw) > 64 * REMEMBERED:
             self.clear()
-        new = ~np.isin(distinct, self.hashes, assume_unique=True)
-        if new.any():
-            at = one[new]
-            flat, size = self.encode([text[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
-            begin = np.cumsum(size) - size + len(self.flat)
-            order = np.argsort(all_ := np.concatenate([self.hashes, distinct[new]]))
-            self.hashes, self.begin, self.size = all_[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
-            self.flat = np.concatenate([self.flat, flat])
-        k = np.searchsorted(self.hashes, distinct)[which]
+        met = self._find(own)
+        k = np.flatnonzero(met >= 0)
+        same = self.length[met[k]] == length[k]
+        same &= same_bytes(raw, first[k], self.raw, self.at[met[k]], np.where(same, length[k], 0))
+        texts = lambda at: [raw[a : a + n].tobytes().decode() for a, n in zip(first[at].tolist(), length[at].tolist(), strict=True)]
+        if not same.all() or len(np.unique(own)) < len(own):  # two fragments of one hash: nothing is remembered of these
+            flat, size = self.encode(texts(np.arange(len(one))))
+            begin = np.cumsum(size) - size
+            return flat[ranges(begin[which], size[which])], size[which]
+        new = np.flatnonzero(met < 0)
+        if len(new):
+            flat, size = self.encode(texts(new))
+            order = np.argsort(all_ := np.concatenate([self.hashes, own[new]]))
+            add = lambda old, x: np.concatenate([old, x])[order]
+            self.begin, self.size = add(self.begin, np.cumsum(size) - size + len(self.flat)), add(self.size, size)
+            self.at, self.length = add(self.at, np.cumsum(length[new]) - length[new] + len(self.raw)), add(self.length, length[new])
+            self.hashes, self.flat, self.raw = all_[order], np.concatenate([self.flat, flat]), np.concatenate([self.raw, raw[ranges(first[new], length[new])]])
+        k = self._find(own)[which]
         return self.flat[ranges(self.begin[k], self.size[k])], self.size[k]
 
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the hashes are among the known ones, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[k] == hashes, k, -1)
+
 
 def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc, th, piece, start, length, ids_crc32[, ids]): each text's tokens and the end token, cut
@@ -161,12 +179,10 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY
         for batch in batches:
             for part in parts(batch, "text", 4_000_000):
                 raw, off = in_bytes(part.column("text"))
-                text = raw.tobytes()
-                if b"<|" not in text:  # the tokenizer would do so after it has looked for special tokens
+                if b"<|" not in raw.tobytes():  # the tokenizer would do so after it has looked for special tokens
                     raw = LOWER[raw]
-                    text = raw.tobytes()
                 start, end, foff = fragments(raw, off)
-                ids, size = known.of(text, start, end, word_hashes(raw, start, end))
+                ids, size = known.of(raw, start, end, word_hashes(raw, start, end))
                 toff = np.concatenate([[0], np.cumsum(size)])[foff]
                 ids = np.insert(ids, toff[1:], END_TOKEN).astype("<u4")
                 toff = toff + np.arange(len(toff))

@@ -100,7 +100,7 @@ def test_fragments_of_random_texts():
     raw = np.frombuffer("".join(texts).encode(), np.uint8)
     off = np.concatenate([[0], np.cumsum([len(x.encode()) for x in texts])]).astype(np.int64)
     start, end, foff = P.fragments(raw, off)
-    ids, size = known.of(raw.tobytes(), start, end, word_hashes(raw, start, end))
+    ids, size = known.of(raw, start, end, word_hashes(raw, start, end))
     toff = np.concatenate([[0], np.cumsum(size)])[foff]
     for k, x in enumerate(texts):
         assert ids[toff[k] : toff[k + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)

@@ -9,11 +9,12 @@ whole texts.
 A tree over all documents wouldn't part them (most points of a size lie close), so
 documents are gathered first: sets that are alike enough must share a shingle among their
 first few in any one order of shingles (frequent ones come last here), and all documents that
-share such a shingle gather around the least of them, its centre.  A gathering is
-linked where it lies: what is alike to the centre needs no further comparison, the rest
-searches the gathering's tree, and of pairs found alike only those are returned that connect
-what wasn't connected yet.  Links are thus linear in the documents gathered, however
-large a group of copies is.  Equal sets are one point.
+share such a shingle gather around the least of them, its centre.  First only points are gathered:
+a document stays if its bound with the centre, or with a point that the gathering's tree finds, reaches the
+overlap.  Of those that stay the texts are gathered and linked where they lie: what is alike to the
+centre needs no further comparison, the rest searches the tree again, and of pairs found alike
+only those are returned that connect what wasn't connected yet.  What leaves a task is thus
+linear in the documents gathered, however large a group of copies is.  Equal sets are one point.
 """
 
 from __future__ import annotations
@@ -40,8 +41,10 @@ COUNTED = 0.3
 COUNTED_BELOW = int(COUNTED * 2**63)
 #: Shingles in more documents than this, or than one in so many documents, are frequent; of these at most so many are sent to tasks.
 FREQUENT, FREQUENT_SHARE, SENT = 200, 5000, 1_000_000
-#: Shingles (and as much again for each row) that a task holds of a gathering; larger ones are dealt to several tasks.
+#: Shingles (and so many more for each row) that a task holds of a gathering; larger ones are dealt to several tasks.
 HELD, ROW = 1_000_000, 64
+#: Groups of points that a task holds of a gathering; of larger ones all documents stay.
+POINTS_HELD = 32_000_000
 
 
 def sets(part: pa.RecordBatch, k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -63,24 +66,54 @@ def by_row(own: np.ndarray, rows: int) -> np.ndarray:
     return np.argsort(own.astype(np.uint16) if rows < 1 << 16 else own, kind="stable")
 
 
+def coded(counts: np.ndarray) -> bytes:
+    """Counts as a byte each, and a power of two that they are multiples of, rounded up: a bound from above."""
+    shift = 0
+    while (int(counts.max(initial=0)) + (1 << shift) - 1) >> shift > 255:
+        shift += 1
+    return ((counts + (1 << shift) - 1) >> shift).astype(np.uint8).tobytes() + bytes([shift])
+
+
+def decoded(point: bytes) -> np.ndarray:
+    counts = np.frombuffer(point, np.uint8, len(point) - 1)
+    return counts.astype(np.int32) << point[-1] if point[-1] else counts
+
+
+def finest(n: int, groups: int) -> int:
+    """Groups of a set's point: a power of two, one for each shingle or so."""
+    return max(groups, 1 << max(n, 1).bit_length())
+
+
+def grouped(hashes: np.ndarray, groups: int) -> np.ndarray:
+    """The number of shingles in each group; groups (a power of two) are ranges of a hash, so that neighbours add up to coarser ones."""
+    return np.bincount((mix(hashes) >> U64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """Coarser points: the last axis summed up to so many groups."""
+    return counts.reshape(*counts.shape[:-1], groups, -1).sum(axis=-1, dtype=np.int32) if counts.shape[-1] > groups else counts
+
+
 def points(hashes: np.ndarray, off: np.ndarray, groups: int) -> np.ndarray:
-    """The number of shingles in each group (a power of two of them), a row for each set."""
+    """The number of shingles in each group, a row for each set."""
     at = owners(off) * groups + (mix(hashes) >> U64(65 - groups.bit_length())).astype(np.int64)
     count = np.bincount(at, minlength=(len(off) - 1) * groups).reshape(-1, groups)
     return count.astype(np.uint8 if count.max(initial=0) < 256 else np.int32)
 
 
-def sizes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc, th, n, f1, f2): size and fingerprint (128 bits) of each document's set."""
+def sizes(docs: DataFrame, k: int, groups: int) -> DataFrame:
+    """(doc, th, n, f1, f2, point): size, fingerprint (128 bits) and compressed point of each document's set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for part in parts(batch, "text"):
                 hashes, soff = sets(part, k)
                 f = [np.diff(np.concatenate([[U64(0)], np.cumsum(mix(hashes + U64(s)))])[soff]) for s in (1, 2)]
-                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("th"), pa.array(np.diff(soff)), *(pa.array(signed(np.ascontiguousarray(x))) for x in f)], names=["doc", "th", "n", "f1", "f2"])
+                point = [squeeze(coded(grouped(hashes[a:b], finest(b - a, groups)))) if b > a else None for a, b in zip(soff[:-1].tolist(), soff[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("th"), pa.array(np.diff(soff)), *(pa.array(signed(np.ascontiguousarray(x))) for x in f), pa.array(point, pa.binary())], names=["doc", "th", "n", "f1", "f2", "point"])
 
-    return docs.mapInArrow(scan, "doc long, th long, n long, f1 long, f2 long")
+    return docs.mapInArrow(scan, "doc long, th long, n long, f1 long, f2 long, point binary")
 
 
 def count_shingles(docs: DataFrame, k: int) -> DataFrame:
@@ -197,71 +230,135 @@ def group_links(hashes: np.ndarray, off: np.ndarray, label: np.ndarray, query: n
     return out
 
 
+def tables(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], most: int = 4_000_000) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Batches put together to about so many bytes and cut where keys change, and the ranges of rows of equal keys."""
+    held: list[pa.RecordBatch] = []
+
+    def ranged(table: pa.Table) -> tuple[pa.Table, list[tuple[int, int]]]:
+        new = np.ones(table.num_rows, dtype=bool)
+        new[1:] = False
+        for c in keys:
+            x = table.column(c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        at = np.flatnonzero(new).tolist()
+        return table, list(zip(at, [*at[1:], table.num_rows], strict=True))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(h.nbytes for h in held) < most:
+            continue
+        table, groups = ranged(pa.Table.from_batches(held))
+        if len(groups) > 1:
+            cut = groups[-1][0]
+            held = table.slice(cut).to_batches()
+            yield table.slice(0, cut), groups[:-1]
+    if held:
+        yield ranged(pa.Table.from_batches(held))
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """All rows of equal keys in one partition and together, the centre in front."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "first", "doc", "th")
+
+
+class Points:
+    """The points of a gathering, with as many groups each as its size asks for."""
+
+    def __init__(self, compressed: list[bytes], n: np.ndarray, groups: int):
+        expand = zstandard.ZstdDecompressor().decompress
+        each = [decoded(expand(p)) for p in compressed]
+        self.n, self.wide = n, np.array([len(p) for p in each])
+        self.place, self.of = np.zeros(len(n), np.int64), {}
+        for w in np.unique(self.wide).tolist():
+            at = np.flatnonzero(self.wide == w)
+            self.place[at] = np.arange(len(at))
+            self.of[w] = np.stack([each[i] for i in at.tolist()])
+        self.coarse = np.empty((len(n), groups), dtype=np.int32)
+        for w, x in self.of.items():
+            self.coarse[self.wide == w] = folded(x, groups)
+
+    def reach(self, q: int, rows: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Which of the rows' bounds with row q reach the overlap asked for?"""
+        ok = den * np.minimum(self.n[rows], self.n[q]) >= num * np.maximum(self.n[rows], self.n[q])
+        mine = self.of[int(self.wide[q])][self.place[q]]
+        for w, x in self.of.items():
+            at = np.flatnonzero(ok & (self.wide[rows] == w))
+            if len(at):
+                g = min(w, len(mine))
+                bound = np.minimum(folded(x[self.place[rows[at]]], g), folded(mine, g)).sum(axis=1, dtype=np.int64)
+                ok[at] = alike(self.n[q], self.n[rows[at]], bound, num, den)
+        return ok
+
+
+def within_bound(rows: DataFrame, num: int, den: int, groups: int) -> DataFrame:
+    """(cdoc, cth, doc, th, size): the documents of each gathering whose bound with any other one there reaches the overlap asked for.
+
+    rows: (cdoc, cth, first, doc, th, size, point).
+    """
+
+    def staying(p: Points) -> np.ndarray:
+        stay = np.zeros(len(p.n), dtype=bool)
+        stay[1:] = p.reach(0, np.arange(1, len(p.n)), num, den)
+        stay[0] = stay.any()
+        rest = np.flatnonzero(~stay)
+        if len(p.n) > 2 and len(rest):
+            tree = CountTree(p.coarse, p.n)
+            for q in rest.tolist():
+                hits = tree.search(p.coarse[q], int(p.n[q]), num, den)
+                stay[q] = p.reach(q, hits[hits != q], num, den).any()
+        return stay
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, gathered in tables(batches, ("cdoc", "cth"), 1_000_000):
+            size, point = table.column("size").to_numpy().astype(np.int64), table.column("point").to_pylist()
+            stay = np.zeros(len(size), dtype=bool)
+            for s, e in gathered:
+                if e - s > 1:
+                    stay[s:e] = staying(Points(point[s:e], size[s:e], groups))
+            yield from table.select(["cdoc", "cth", "doc", "th", "size"]).filter(pa.array(stay)).combine_chunks().to_batches()
+
+    return dealt(rows, "cdoc", "cth").mapInArrow(scan, "cdoc long, cth long, doc long, th long, size int")
+
+
 LINK = "udoc long, uth long, vdoc long, vth long"
 
 
 def gathered_links(rows: DataFrame, k: int, num: int, den: int, groups: int) -> DataFrame:
     """Links (u, v) within gatherings, told from the whole texts.
 
-    rows: (cdoc, cth, chunk, first, doc, th, body) and, where labels are known, (ldoc, lth, query); all
-    rows of a (cdoc, cth, chunk) in one partition and together, the centre (first = 0) in front.  Shingles are
-    hashed anew with a seed of their own, so that a pair is never taken for alike because its
-    candidates' hashes met.
+    rows: (cdoc, cth, chunk, first, doc, th, body) and, where labels are known, (ldoc, lth, query); the
+    centre has first = 0.  Shingles are hashed anew with a seed of their own, so that a pair is never taken
+    for alike because its candidates' hashes met.
     """
     labelled = "query" in rows.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        held: list[pa.RecordBatch] = []
-        weight = 0
-
-        def done(table: pa.Table) -> pa.RecordBatch:
-            column = lambda c: table.column(c).to_numpy()
+        for table, gathered in tables(batches, ("cdoc", "cth", "chunk")):
+            column = lambda c: table.column(c).to_numpy()  # noqa: B023,E731
             doc, th = column("doc"), column("th")
             _, one, own = np.unique(np.stack([doc, th]), axis=1, return_index=True, return_inverse=True)
             texts = pa.RecordBatch.from_arrays([pa.array([expand(b.as_py()) for b in table.column("body").take(pa.array(one))], pa.large_binary())], names=["text"])
             got = [sets(p, k, 2) for p in parts(texts, "text")]
             all_ = np.concatenate([h for h, _ in got])
             soff = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in got]))])
-            group = np.stack([column("cdoc"), column("cth"), column("chunk").astype(np.int64)])
-            new = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(axis=0)]))
             found: list[tuple[int, int]] = []
             if labelled:
                 _, label = np.unique(np.stack([column("ldoc"), column("lth")]), axis=1, return_inverse=True)
                 query = column("query").astype(bool)
-            for s, e in zip(new.tolist(), [*new[1:].tolist(), len(doc)], strict=True):
+            for s, e in gathered:
                 if e - s > 1:
                     u = own[s:e]
                     n = soff[u + 1] - soff[u]
                     hashes, off = all_[ranges(soff[u], n)], np.concatenate([[0], np.cumsum(n)])
                     found += [(s + i, s + j) for i, j in group_links(hashes, off, label[s:e].copy() if labelled else np.arange(e - s), query[s:e] if labelled else None, num, den, groups)]
             i, j = np.array(found, dtype=np.int64).reshape(-1, 2).T
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[i], th[i], doc[j], th[j])], names=["udoc", "uth", "vdoc", "vth"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            weight += batch.nbytes
-            if weight < 4_000_000 and sum(h.num_rows for h in held) < 20_000:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            differs = np.zeros(table.num_rows, dtype=bool)
-            for c in ("cdoc", "cth", "chunk"):
-                x = table.column(c).to_numpy()
-                differs |= x != x[-1]
-            cut = int(differs.nonzero()[0][-1]) + 1 if differs.any() else 0
-            held = table.slice(cut).to_batches()
-            weight = sum(h.nbytes for h in held)
-            if cut:
-                yield done(table.slice(0, cut))
-        if held:
-            yield done(pa.Table.from_batches(held))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[i], th[i], doc[j], th[j])], names=["udoc", "uth", "vdoc", "vth"])
 
-    spark = rows.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(tasks, "cdoc", "cth", "chunk").sortWithinPartitions("cdoc", "cth", "chunk", "first", "doc", "th")
-    return dealt.mapInArrow(scan, LINK).select(vertex("udoc", "uth").alias("u"), vertex("vdoc", "vth").alias("v"))
+    return dealt(rows, "cdoc", "cth", "chunk").mapInArrow(scan, LINK).select(vertex("udoc", "uth").alias("u"), vertex("vdoc", "vth").alias("v"))
 
 
 def vertex(doc: str = "doc", th: str = "th") -> Column:
@@ -269,12 +366,22 @@ def vertex(doc: str = "doc", th: str = "th") -> Column:
 
 
 def gatherings(buckets: DataFrame) -> DataFrame:
-    """(cdoc, cth, doc, th, chunks): whoever shares a bucket with the least document of it, the centre, once."""
+    """(cdoc, cth, doc, th, size): whoever shares a bucket with the least document of it, the centre, once."""
     centres = kept(buckets.groupBy("key").agg(F.min(vertex()).alias("c"), F.max(vertex()).alias("last")).where("c < last").select("key", F.col("c.doc").alias("cdoc"), F.col("c.th").alias("cth")))
     members = kept(buckets.join(centres, "key").groupBy("cdoc", "cth", "doc", "th").agg(F.max("size").alias("size")))
-    chunks = kept(members.groupBy("cdoc", "cth").agg(F.ceil(F.sum(F.col("size") + ROW) / HELD).cast("int").alias("chunks")).where("chunks > 1"))
     discard(centres)
-    return members.drop("size").join(chunks, ["cdoc", "cth"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    return members
+
+
+def staying(members: DataFrame, points: DataFrame, num: int, den: int, groups: int) -> DataFrame:
+    """members without those that their points tell to be alike to nobody; points: (doc, th, point)."""
+    groups_held = F.sum(F.greatest(F.lit(groups), 2 * F.col("size").cast("long")))
+    wide = kept(members.groupBy("cdoc", "cth").agg(groups_held.alias("held")).where(F.col("held") > POINTS_HELD).select("cdoc", "cth"))
+    own = members.join(wide, ["cdoc", "cth"], "left_anti").join(points, ["doc", "th"])
+    rows = own.select("cdoc", "cth", F.when(vertex() == vertex("cdoc", "cth"), 0).otherwise(1).alias("first"), "doc", "th", "size", "point")
+    out = kept(within_bound(rows, num, den, groups).unionByName(members.join(wide, ["cdoc", "cth"], "left_semi")))
+    discard(wide)
+    return out
 
 
 def links_and_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN, groups: int = GROUPS) -> tuple[DataFrame, DataFrame]:
@@ -283,11 +390,10 @@ def links_and_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: in
 
     Each link is verified, and any two linked sets are joined by some path of the links returned.
     """
-    known = kept(sizes(docs, k))
+    known = kept(sizes(docs, k, groups))
     classes = known.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(vertex()).alias("rep"))
     members = kept(known.join(classes, ["f1", "f2", "n"], "left").select("doc", "th", "n", F.coalesce("rep", vertex()).alias("rep")))
     n_docs = known.count()
-    discard(known)
     reps = kept(members.where("n > 0").select("rep.doc", "rep.th").distinct())
     shared = kept(count_shingles(docs, k).where("n > 1"))
     often = max(FREQUENT, n_docs // FREQUENT_SHARE)
@@ -297,27 +403,33 @@ def links_and_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: in
     first = prefixes(docs, k, num, den, frequent).join(shared, "key", "left").where(F.col("n").isNotNull() | (F.col("key") >= COUNTED_BELOW))
     buckets = kept(first.select("key", "doc", "th", "size").join(reps, ["doc", "th"], "left_semi"))
     discard(shared, reps)
-    around = kept(gatherings(buckets))
+    gathered = gatherings(buckets)
     discard(buckets)
-    once = packed(docs.dropDuplicates(["doc", "th"]) if docs_repeat(members) else docs)
-    bodies = kept(once.join(around.select("doc", "th").distinct(), ["doc", "th"], "left_semi"))
+    repeated = docs_repeat(members)
+    points = known.select("doc", "th", "point")
+    left = staying(gathered, points.dropDuplicates(["doc", "th"]) if repeated else points, num, den, groups)
+    discard(gathered, known)
+    once = packed(docs.dropDuplicates(["doc", "th"]) if repeated else docs)
+    bodies = kept(once.join(left.select("doc", "th").distinct(), ["doc", "th"], "left_semi"))
+    leads = kept(left.groupBy("cdoc", "cth").agg(F.min(vertex()).alias("lead"), F.ceil(F.sum(F.col("size") + ROW) / HELD).cast("int").alias("chunks")))
+    around = left.join(leads, ["cdoc", "cth"])
     own = F.pmod(F.xxhash64("doc", "th"), F.col("chunks")).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    centre = vertex() == vertex("cdoc", "cth")
-    rows = around.select("cdoc", "cth", F.explode(F.when(centre, every).otherwise(F.array(own))).alias("chunk"), F.when(centre, 0).otherwise(1).alias("first"), "doc", "th")
+    leading = vertex() == F.col("lead")
+    rows = around.select("cdoc", "cth", F.explode(F.when(leading, every).otherwise(F.array(own))).alias("chunk"), F.when(leading, 0).otherwise(1).alias("first"), "doc", "th")
     links = kept(gathered_links(rows.join(bodies, ["doc", "th"]), k, num, den, groups))
-    dealt = around.where("chunks > 1")
-    if dealt.isEmpty():
-        discard(around, bodies)
+    shared_out = around.where("chunks > 1")
+    if shared_out.isEmpty():
+        discard(left, leads, bodies)
         return links, members
-    # Gatherings that several tasks share: what isn't linked with the centre goes to all of them.
+    # Gatherings that several tasks share: what isn't linked with the lead goes to all of them.
     roots = components(links)
-    label = dealt.withColumn("u", vertex()).join(roots, "u", "left").withColumn("root", F.coalesce("root", "u")).drop("u")
-    main = label.where(centre).select("cdoc", "cth", F.col("root").alias("main"))
+    label = shared_out.withColumn("u", vertex()).join(roots, "u", "left").withColumn("root", F.coalesce("root", "u")).drop("u")
+    main = label.where(leading).select("cdoc", "cth", F.col("root").alias("main"))
     asked = label.join(main, ["cdoc", "cth"]).withColumn("query", F.col("root") != F.col("main"))
     rows = asked.select("cdoc", "cth", F.explode(F.when(F.col("query"), every).otherwise(F.array(own))).alias("chunk"), F.lit(1).alias("first"), "doc", "th", F.col("root.doc").alias("ldoc"), F.col("root.th").alias("lth"), "query")
     more = kept(gathered_links(rows.join(bodies, ["doc", "th"]), k, num, den, groups))
-    discard(around, bodies)
+    discard(left, leads, bodies)
     return links.unionByName(more), members
 
 

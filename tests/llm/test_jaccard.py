@@ -7,7 +7,7 @@ import pytest
 from lodestone.llm import jaccard as J
 from lodestone.llm.components import components
 
-from .common import corpus, rows, table
+from .common import corpus, rows, table, thue_morse
 
 
 def shingles(text):
@@ -50,10 +50,11 @@ def edited(seed, n=70, size=60):
     return out
 
 
-@pytest.mark.parametrize(("seed", "frequent", "tree"), [(1, 200, 4000), (3, 1, 2)])
-def test_components_against_brute_force(spark, monkeypatch, seed, frequent, tree):
+@pytest.mark.parametrize(("seed", "frequent", "held", "points"), [(1, 200, J.HELD, J.POINTS_HELD), (3, 1, 200, J.POINTS_HELD), (4, 200, 500, 4000)])
+def test_components_against_brute_force(spark, monkeypatch, seed, frequent, held, points):
     monkeypatch.setattr(J, "FREQUENT", frequent)
-    monkeypatch.setattr(J, "TREE", tree)
+    monkeypatch.setattr(J, "HELD", held)
+    monkeypatch.setattr(J, "POINTS_HELD", points)
     texts = [*corpus(seed, n=40, longest=40), *edited(seed)]
     docs = table(spark, texts)
     got = sorted((r.doc, r.n, r.root.doc) for r in J.linked(docs).collect())
@@ -99,6 +100,46 @@ def test_chain_of_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def near_copies(seed, n, size=80):
+    """A large group of near copies, of which many aren't alike to the first one but to others."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(size)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5])):
+            w[r.randrange(size)] = f"x{r.randrange(10 ** 6)}"
+        out.append(" ".join(w))
+    return [" ".join(base[: size // 2] + [f"y{i}" for i in range(size // 2)]), *out]
+
+
+def test_links_are_linear_in_a_large_group(spark, monkeypatch):
+    """With each gathering in one task and in several."""
+    texts = near_copies(5, 150)
+    want = brute(texts)
+    for held in (J.HELD, 2000):
+        monkeypatch.setattr(J, "HELD", held)
+        docs, _ = J.identified(table(spark, texts))
+        links, members = J.links_and_classes(docs)
+        assert links.count() < 8 * len(texts)
+        assert sorted((r.doc, r.n, r.root.doc) for r in J.linked(table(spark, texts)).collect()) == want
+
+
+def test_words_that_sums_of_powers_confuse(spark):
+    x, y = thue_morse(10)
+    texts = [x, y, f"a b c d {x}", f"a b c d {y}", x]
+    assert sorted((r.doc, r.n, r.root.doc) for r in J.linked(table(spark, texts)).collect()) == [(0, 1, 0), (1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 0)]
+
+
+def test_long_texts(spark):
+    """A text of some megabytes, its near copy, one long word, and one word many times."""
+    r = random.Random(1)
+    w = [f"t{r.randrange(10 ** 7)}" for _ in range(300_000)]
+    texts = [" ".join(w), " ".join(w[:150_000] + ["new"] + w[150_000:]), "z" * 1_000_000, "z" * 1_000_001, "go " * 100_000, "go " * 5, " ".join(w[:150_000])]
+    got = sorted((r.doc, r.n, r.root.doc) for r in J.linked(table(spark, texts)).collect())
+    assert [g[2] for g in got] == [0, 0, 2, 3, 4, 4, 6] and [g[1] for g in got[2:6]] == [1, 1, 1, 1]
+
+
 def test_repeated_and_empty(spark):
     docs = table(spark, ["a b c d e f g", None, "", "A b c d e f g"])
     twice = docs.union(docs).union(docs.selectExpr("cast(null as long)", "text", "lang", "source", "n_chars", "row_id"))

@@ -8,8 +8,10 @@ minima and maxima, a join marks the branching places of each document, and what
 them is one occurrence of one compacted path.  The source coordinates of a path's occurrences
 must agree on its length, and decide which of them is the first.
 
-Edges that can't repeat are left out beforehand: of each window's word m-mers the least one
-(its minimizer) is counted, and only windows whose minimizer occurs again go into the graph.
+Two things are settled beforehand by each window's minimizer, the least of its word m-mers.  Consecutive
+windows with one minimizer are a stretch; an edge whose minimizer occurs nowhere else can't repeat and
+is left out; and where all stretches of a minimizer have the same words, no edge in them has
+more than one successor, so of such a stretch only the two ends go into the graph.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import Windows, covered, in_bytes, owners, parts, signed, word_hashes, words
+from .arrays import Windows, covered, in_bytes, owners, parts, ranges, signed, word_hashes, words
 from .bodies import packed, unpacked
 from .session import bounded, discard, doc_ids, identified, kept, read
 
@@ -42,11 +44,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def stretches(codes: np.ndarray, woff: np.ndarray, window: int, mer: int) -> dict[str, np.ndarray]:
     """Consecutive windows with one minimizer: row, first word (from the row's start), number of
-    windows, and the hash of the minimizer."""
+    windows, the hash of the minimizer, and that of all words with the minimizer's place among them."""
     n = len(codes)
     if n < window:
-        return {k: np.zeros(0, np.int64) for k in ("row", "s", "len")} | {"key": np.zeros(0, U64)}
-    mers = Windows(codes).of(mer)
+        return {k: np.zeros(0, np.int64) for k in ("row", "s", "len")} | {k: np.zeros(0, U64) for k in ("key", "h")}
+    hashes = Windows(codes)
+    mers = hashes.of(mer)
     ordered = (mers & ~U64((1 << PLACE) - 1)) | np.arange(len(mers), dtype=U64)
     least = (sliding_min(ordered, window - mer + 1) & U64((1 << PLACE) - 1)).astype(np.int64)
     row = owners(woff)
@@ -54,11 +57,12 @@ def stretches(codes: np.ndarray, woff: np.ndarray, window: int, mer: int) -> dic
     at = least[edge]
     new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
     first, length, at = edge[new], np.diff(np.append(new, len(at))), at[new]
-    return {"row": row[first], "s": first - woff[row[first]], "len": length, "key": mers[at]}
+    h = hashes.slices(first, first + length + window - 1) + (at - first).astype(U64)
+    return {"row": row[first], "s": first - woff[row[first]], "len": length, "key": mers[at], "h": h}
 
 
 def read_stretches(docs: DataFrame, window: int, mer: int, keys_only: bool) -> DataFrame:
-    """(key, doc, th, s, len) of all stretches, or (key, n) of their minimizers."""
+    """(key, h, doc, th, s, len) of all stretches, or (key, n) of their minimizers."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,10 +75,10 @@ def read_stretches(docs: DataFrame, window: int, mer: int, keys_only: bool) -> D
                     yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(n, pa.int32())], names=["key", "n"])
                     continue
                 rows = pa.array(p["row"])
-                columns = [pa.array(signed(p["key"])), part.column("doc").take(rows), part.column("th").take(rows), pa.array(p["s"], pa.int32()), pa.array(p["len"], pa.int16())]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "th", "s", "len"])
+                columns = [pa.array(signed(p["key"])), pa.array(signed(p["h"])), part.column("doc").take(rows), part.column("th").take(rows), pa.array(p["s"], pa.int32()), pa.array(p["len"], pa.int16())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "h", "doc", "th", "s", "len"])
 
-    return docs.mapInArrow(scan, "key long, n int" if keys_only else "key long, doc long, th long, s int, len short")
+    return docs.mapInArrow(scan, "key long, n int" if keys_only else "key long, h long, doc long, th long, s int, len short")
 
 
 #: The words before a text and after it.
@@ -82,12 +86,13 @@ BEFORE, AFTER = U64(0xBE), U64(0xAF)
 
 
 def read_nodes(candidates: DataFrame, bodies: DataFrame, window: int) -> DataFrame:
-    """(a, b, before, after, doc, th, s, edge, cut): the nodes at either end of each candidate edge.
+    """(a, b, before, after, doc, th, s, edge, cut): the nodes at either end of each candidate edge, or of a
+    whole stretch that is simple.
 
     a and b: two hashes of the node's words; before and after: the neighbouring words; s: its first word; edge: an edge
     of the graph starts here; cut: this is an end of consecutive edges.
     """
-    by_doc = candidates.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "len")).alias("stretches"))
+    by_doc = candidates.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "len", "simple")).alias("stretches"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in unpacked(batches):
@@ -99,9 +104,13 @@ def read_nodes(candidates: DataFrame, bodies: DataFrame, window: int) -> DataFra
             flat = listed.flatten()
             row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(listed).to_numpy())
             s = flat.field(0).to_numpy() + woff[row]
-            edge = covered(len(codes) + 1, s, s + flat.field(1).to_numpy())
+            length = flat.field(1).to_numpy()
+            simple = flat.field(2).to_numpy(zero_copy_only=False)
+            edge = covered(len(codes) + 1, s, s + length)
             ended = np.concatenate([[False], edge[:-1]])
-            at = np.flatnonzero(edge | ended)
+            node = edge | ended
+            node[ranges(s[simple] + 1, length[simple] - 1)] = False
+            at = np.flatnonzero(node)
             row = np.searchsorted(woff, at, side="right") - 1
             a, b = (Windows(c).of(window - 1)[at] for c in (codes, word_hashes(raw, start, end, 2)))
             before = np.where(at > woff[row], codes[at - 1], BEFORE)
@@ -135,10 +144,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> Dat
     mer = min(mer, window)
     coordinate = F.struct("doc", "th", "s")
     keys = kept(read_stretches(docs, window, mer, True).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
-    candidates = kept(read_stretches(docs, window, mer, False).join(keys, "key", "left_semi").select("doc", "th", "s", "len"))
+    candidates = kept(read_stretches(docs, window, mer, False).join(keys, "key", "left_semi"))
+    branching = kept(candidates.groupBy("key").agg(F.min(F.struct("h", "len")).alias("least"), F.max(F.struct("h", "len")).alias("most")).where("least != most").select("key", F.lit(False).alias("simple")))
     discard(keys)
-    nodes = kept(read_nodes(candidates, packed(docs), window))
-    discard(candidates)
+    marked = candidates.join(branching, "key", "left").select("doc", "th", "s", "len", F.coalesce("simple", F.lit(True)).alias("simple"))
+    nodes = kept(read_nodes(marked, packed(docs), window))
+    discard(candidates, branching)
     paths = compacted(nodes)
     discard(nodes)
     repeated = paths.groupBy("a", "b", "after").agg(F.min(coordinate).alias("first"), F.count("*").alias("n"), F.min("len").alias("least"), F.max("len").alias("most")).where("n > 1")

@@ -6,7 +6,7 @@ import pytest
 
 from lodestone.llm import phrases as P
 
-from .common import corpus, rows, table
+from .common import corpus, rows, table, thue_morse
 
 
 def brute(texts, k):
@@ -37,6 +37,17 @@ def test_query_digest(spark):
     assert sum(g[2] for g in got) > 0
 
 
+def test_strings_that_sums_of_powers_confuse(spark):
+    x, y = thue_morse(9)
+    assert rows(P.remove_repeats(table(spark, [x, y, "c" + x]), 512), "doc_id", "n_removed") == [(0, 512), (1, 0), (2, 512)]
+
+
+def test_long_texts_and_clashing_names(spark):
+    docs = table(spark, ["long " * 200_000, "a" * 1_000_000, "b" * 400, *[""] * 500]).selectExpr("doc_id", "text", "1 as key", "2 as n_spans", "3 as e")
+    got = rows(P.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans")
+    assert got[:3] == [(0, 1_000_000, 1_000_000, 1), (1, 1_000_000, 1_000_000, 1), (2, 400, 0, 0)] and len(got) == 503
+
+
 def test_repeated_rows_and_ids(spark):
     docs = table(spark, ["q" + "".join(chr(97 + (i * i) % 23) for i in range(500)), "short", None])
     twice = docs.union(docs)

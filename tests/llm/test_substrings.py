@@ -6,7 +6,7 @@ import pytest
 
 from lodestone.llm import substrings as S
 
-from .common import corpus, rows, table
+from .common import corpus, rows, table, thue_morse
 
 
 def split(text):
@@ -50,6 +50,28 @@ def test_repeated_rows_and_ids(spark):
     assert S.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_words_that_sums_of_powers_confuse(spark):
+    x, y = thue_morse(10)
+    texts = [" ".join([x, *"abcdefghijklmnopqrst"]), " ".join([y, *"abcdefghijklmnopqrs"]), " ".join([x, *"abcdefghijklmnopqrs"])]
+    assert rows(S.remove_repeats(table(spark, texts)), "doc_id", "n_removed") == [(0, 0), (1, 0), (2, 20)]
+
+
+def test_paths_end_with_texts_and_branch(spark):
+    """Passages at the very start and end of texts, inside others, and cut short."""
+    w = [f"p{i}" for i in range(60)]
+    join = lambda *x: " ".join(y for z in x for y in z)
+    texts = [join(w), join(w), join(["a"], w), join(w, ["b"]), join(["c"], w[5:50], ["d"]), join(w[:30]), join(w[30:]), join(w[:40], w[20:]), join(w[10:31], ["e"], w[10:31])]
+    got = rows(S.remove_repeats(table(spark, texts)), "doc_id", "n_words", "n_removed", "text")
+    assert got == brute(texts, 20)
+
+
+def test_long_texts_and_clashing_names(spark):
+    many = " ".join(f"m{i}" for i in range(300_000))
+    docs = table(spark, [many, "x" * 1_000_000, "go " * 100_000, "tail " + many, *[""] * 500]).selectExpr("doc_id", "text", "1 as a", "2 as key", "3 as stretches", "4 as n_removed")
+    got = rows(S.remove_repeats(docs), "doc_id", "n_words", "n_removed")
+    assert got[:4] == [(0, 300_000, 0), (1, 1, 0), (2, 100_000, 99_999), (3, 300_001, 300_000)] and len(got) == 504
+
+
 def test_sliding_min():
     x = np.random.default_rng(1).integers(0, 50, 40)
     for w in range(1, 20):

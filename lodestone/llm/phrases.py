@@ -25,13 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import Windows, covered, in_bytes, parts, ranges, signed
+from .arrays import Windows, in_bytes, parts, ranges, signed
 from .bodies import packed, unpacked
 from .session import bounded, discard, doc_ids, identified, kept, read
 
 U64 = np.uint64
 #: Bytes of a string, bytes of a trigger, mean bytes from trigger to trigger, suffixes that share a core.
 LENGTH, GRAM, SPACING, BLOCK = 400, 8, 48, 64
+#: Bytes of a repeated string that is reported though it stays: passages of 50 short words.
+REPORTED = 200
+#: Bytes of text that are parsed together, about (one text at least).
+PIECE = 1_000_000
 #: How much more frequent triggers are where there were none.
 DENSER = 3
 
@@ -92,20 +96,38 @@ def cores(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, spacing: int =
     return {"row": rows, "s": cat(s, "s") - off[rows], "t": cat(t, "t") - off[rows], "key": cat(key, "key"), "h": cat(h, "h")}
 
 
+def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(batch, bytes, offsets, rows, starts) of pieces of the batches: whole texts (doc, th, text), or the
+    `runs` of compressed ones (doc, th, body, runs); rows and starts say where in the batch each stretch lies."""
+    for batch in batches:
+        if "text" in batch.schema.names:
+            for part in parts(batch, "text", PIECE):
+                raw, off = in_bytes(part.column("text"))
+                yield part, raw, off, np.arange(part.num_rows), np.zeros(part.num_rows, np.int64)
+            continue
+        for part, texts in unpacked([batch], PIECE):
+            listed = part.column("runs")
+            flat = listed.flatten()
+            row = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(listed).to_numpy())
+            start, end = (flat.field(k).to_numpy().astype(np.int64) for k in range(2))
+            base = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            raw = np.frombuffer(b"".join(texts), dtype=np.uint8)[ranges(base[row] + start, end - start)]
+            yield part, raw, np.concatenate([[0], np.cumsum(end - start)]), row, start
+
+
 def read_cores(docs: DataFrame, length: int, spacing: int, block: int, keys_only: bool) -> DataFrame:
     """(key, h, doc, th, s, t) of all blocks, or (key, n) of their cores."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in parts(batch, "text"):
-                raw, off = in_bytes(part.column("text"))
-                c = cores(raw, off, length, spacing, block)
-                if keys_only:
-                    key, n = np.unique(c["key"], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(n, pa.int32())], names=["key", "n"])
-                    continue
-                rows = pa.array(c["row"])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(c["key"])), pa.array(signed(c["h"])), part.column("doc").take(rows), part.column("th").take(rows), pa.array(c["s"], pa.int32()), pa.array(c["t"], pa.int32())], names=["key", "h", "doc", "th", "s", "t"])
+        for part, raw, off, row, start in stretches(batches):
+            c = cores(raw, off, length, spacing, block)
+            if keys_only:
+                key, n = np.unique(c["key"], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(n, pa.int32())], names=["key", "n"])
+                continue
+            rows = pa.array(row[c["row"]])
+            s, t = (c[k] + start[c["row"]] for k in ("s", "t"))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(c["key"])), pa.array(signed(c["h"])), part.column("doc").take(rows), part.column("th").take(rows), pa.array(s, pa.int32()), pa.array(t, pa.int32())], names=["key", "h", "doc", "th", "s", "t"])
 
     return docs.mapInArrow(scan, "key long, n int" if keys_only else "key long, h long, doc long, th long, s int, t int")
 
@@ -133,64 +155,101 @@ def single_strings(extents: DataFrame, bodies: DataFrame, length: int) -> DataFr
     return by_doc.join(bodies, ["doc", "th"]).mapInArrow(scan, "key long, e long, doc long, th long, s int, alone boolean")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, spacing: int = SPACING, block: int = BLOCK) -> DataFrame:
+def repeated_spans(docs: DataFrame, bodies: DataFrame, length: int = LENGTH, spacing: int = SPACING, block: int = BLOCK) -> DataFrame:
     """(doc, th, start, end) in bytes: strings of `length` bytes that also start elsewhere.
 
-    docs is what identified() gives, each document once.  Spans may overlap.
+    docs is what identified() gives, each document once, or (doc, th, body, runs), where only the runs
+    can hold such strings; bodies are the texts that packed() gives.  Spans may overlap.
     """
     block = max(1, min(block, length - GRAM))
     place = F.struct("doc", "th", "s", "t")
     # Written before the join, so that Spark can split a frequent core's partition.
     keys = kept(read_cores(docs, length, spacing, block, True).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
     found = kept(read_cores(docs, length, spacing, block, False).join(keys, "key", "left_semi"))
+    discard(keys)
     extents = kept(found.groupBy("key", "h").agg(F.min(place).alias("one"), F.count("*").alias("n")))
-    whole = (
-        found.join(extents.where("n > 1").select("key", "h"), ["key", "h"], "left_semi")
+    again = kept(extents.where("n > 1").select("key", "h"))
+    whole = kept(
+        found.join(again, ["key", "h"], "left_semi")
         .select("doc", "th", F.col("s").alias("start"), (F.col("t") + length).alias("end"))
     )
-    differing = extents.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    discard(found, again)
+    differing = kept(extents.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     compared = extents.join(differing, "key", "left_semi").select("key", "one.*", (F.col("n") == 1).alias("alone"))
-    strings = kept(single_strings(compared, packed(docs), length))
-    shared = strings.groupBy("key", "e").agg(F.count("*").alias("n")).where("n > 1").select("key", "e")
-    partly = strings.where("alone").join(shared, ["key", "e"], "left_semi").select("doc", "th", F.col("s").alias("start"), (F.col("s") + length).alias("end"))
+    strings = kept(single_strings(compared, bodies, length))
+    discard(extents, differing)
+    shared = kept(strings.groupBy("key", "e").agg(F.count("*").alias("n")).where("n > 1").select("key", "e"))
+    partly = kept(strings.where("alone").join(shared, ["key", "e"], "left_semi").select("doc", "th", F.col("s").alias("start"), (F.col("s") + length).alias("end")))
+    discard(strings, shared)
     return whole.unionByName(partly)
 
 
-def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc, th, n_bytes, n_removed, n_spans, body): each text's bytes outside the spans."""
+def runs_of(spans: DataFrame) -> DataFrame:
+    """(doc, th, runs): the spans of each document, those that overlap or touch as one run, ascending."""
     by_doc = spans.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for spans in batch.column("spans"):
+                start, end = (spans.values.field(k).to_numpy() for k in range(2))
+                order = np.argsort(start, kind="stable")
+                start, far = start[order], np.maximum.accumulate(end[order])
+                new = np.flatnonzero(np.concatenate([[True], start[1:] > far[:-1]]))
+                out.append([{"start": a, "end": b} for a, b in zip(start[new].tolist(), far[np.append(new[1:], len(far)) - 1].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("th"), pa.array(out, kind)], names=["doc", "th", "runs"])
+
+    return by_doc.mapInArrow(merge, "doc long, th long, runs array<struct<start:int,end:int>>")
+
+
+def without_runs(docs: DataFrame, removed: DataFrame, reported: DataFrame) -> DataFrame:
+    """(doc, th, n_bytes, n_removed, n_spans, n_repeated, body): each text's bytes outside the runs `removed`."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in unpacked(batches):
-            out: tuple[list, ...] = ([], [], [], [])
-            for text, spans in zip(texts, batch.column("spans"), strict=True):
-                raw = np.frombuffer(text, dtype=np.uint8)
-                gone = np.zeros(len(raw), dtype=bool)
-                if spans.is_valid:
-                    gone = covered(len(raw), spans.values.field(0).to_numpy(), spans.values.field(1).to_numpy())
-                runs = int((gone[1:] & ~gone[:-1]).sum()) + int(len(gone) > 0 and gone[0])
-                for column, value in zip(out, (len(raw), int(gone.sum()), runs, raw[~gone].tobytes()), strict=True):
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for text, gone, seen in zip(texts, batch.column("removed"), batch.column("reported"), strict=True):
+                kept_, at = [], 0
+                runs = [(r["start"], r["end"]) for r in gone.as_py() or ()]
+                for a, b in runs:
+                    kept_.append(text[at:a])
+                    at = b
+                kept_.append(text[at:])
+                repeated = sum(r["end"] - r["start"] for r in seen.as_py() or ())
+                for column, value in zip(out, (len(text), sum(b - a for a, b in runs), len(runs), repeated, b"".join(kept_)), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("th"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], names=["doc", "th", "n_bytes", "n_removed", "n_spans", "body"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("th"), *(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], names=["doc", "th", "n_bytes", "n_removed", "n_spans", "n_repeated", "body"])
+
+    met = packed(docs).join(removed.withColumnRenamed("runs", "removed"), ["doc", "th"], "left").join(reported.withColumnRenamed("runs", "reported"), ["doc", "th"], "left")
+    return met.mapInArrow(cut, "doc long, th long, n_bytes long, n_removed long, n_spans long, n_repeated long, body binary")
 
-    return packed(docs).join(by_doc, ["doc", "th"], "left").mapInArrow(cut, "doc long, th long, n_bytes long, n_removed long, n_spans long, body binary")
 
+def remove_repeats(docs: DataFrame, length: int = LENGTH, spacing: int = SPACING, block: int = BLOCK, reported: int = REPORTED, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, n_repeated, body): each text without the bytes of any string of `length`
+    bytes that also starts anywhere else, in its own or in another document; n_repeated: bytes in
+    strings of `reported` (at most `length`) bytes that do, whether they stay or not.
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, spacing: int = SPACING, block: int = BLOCK, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, body): each text without the bytes of any string of `length`
-    bytes that also starts anywhere else, in its own or in another document.
+    Such shorter strings are looked for in all texts, the longer ones in their runs only.
 
     Null and empty texts have no bytes, texts shorter than `length` lose none.  A body is
     binary, as a cut can fall inside a character.  Rows that agree in id and text are
     one document, which is reported as often as it occurs; rows that only share an id are documents
-    of their own.
+    of their own.  Texts of any length are taken whole; other columns are not read, whatever their names.
     """
     bounded(docs.sparkSession)
     source, unique = identified(docs, doc_id, text)
     once = source if unique else source.dropDuplicates(["doc", "th"])
-    out = without_spans(source, repeated_spans(once, length, spacing, block))
-    return out.select(doc_ids().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "body")
+    reported = min(reported, length)
+    seen = kept(runs_of(repeated_spans(once, packed(once), reported, spacing, block)))
+    gone = seen
+    if reported < length:
+        long = F.filter("runs", lambda r: r["end"] - r["start"] >= length)
+        repetitive = kept(packed(once).join(seen.select("doc", "th", long.alias("runs")).where(F.size("runs") > 0), ["doc", "th"]))
+        gone = kept(runs_of(repeated_spans(repetitive, repetitive.drop("runs"), length, spacing, block)))
+        discard(repetitive)
+    return without_runs(source, gone, seen).select(doc_ids().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "n_repeated", "body")
 
 
 def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("body", 256).alias("kept_sha256"))
+    return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("body", 256).alias("kept_sha256"), "n_repeated")

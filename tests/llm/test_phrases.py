@@ -28,6 +28,9 @@ def test_against_brute_force(spark, seed, k, spacing, block):
     texts = [*corpus(seed, n=40, longest=90), "a" * 700, "b" * 390 + "a" * 450, "ab" * 300, "xyz" + "ab" * 220]
     got = rows(P.remove_repeats(table(spark, texts), k, spacing, block), "doc_id", "n_bytes", "n_removed", "n_spans", "body")
     assert [(*g[:4], bytes(g[4])) for g in got] == brute(texts, k)
+    short = rows(P.remove_repeats(table(spark, texts), k, spacing, block, k // 2), "doc_id", "n_bytes", "n_removed", "n_spans", "body", "n_repeated")
+    assert [(*g[:4], bytes(g[4])) for g in short] == brute(texts, k)
+    assert [g[5] for g in short] == [b[2] for b in brute(texts, k // 2)]
 
 
 def test_query_digest(spark):

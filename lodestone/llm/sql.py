@@ -49,4 +49,25 @@ reach(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, k.v FROM
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least_ AS component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT u, min(v) AS least_ FROM reach GROUP BY 1) ON d.doc_id = u
 """
 
-SQL = {"op2_decontamination": DECONTAMINATION, "op6_substring_dedup": SUBSTRINGS, "op7_jaccard_join": JACCARD}
+
+def _runs(name: str, length: int) -> str:
+    """Maximal runs of bytes in strings of `length` bytes that start more than once.  Texts are cut into overlapping chunks, as
+    a place in a long string is costly to reach."""
+    return f"""
+{name}_w AS (SELECT doc_id, c * 512 + i AS s, md5(substr(piece, 2 * i + 1, {2 * length})) AS g
+  FROM (SELECT doc_id, c, piece, unnest(range(0, least(512, n - {length} + 1 - c * 512))) AS i
+        FROM (SELECT doc_id, n, c, substr(x, c * 1024 + 1, {1024 + 2 * length}) AS piece FROM (SELECT doc_id, x, n, unnest(range(0, (n - {length}) // 512 + 1)) AS c FROM d WHERE n >= {length})))),
+{name}_s AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS l FROM {name}_w WHERE g IN (SELECT g FROM {name}_w GROUP BY g HAVING count(*) > 1)),
+{name} AS (SELECT doc_id, min(s) AS a, max(s) + {length} AS b FROM (SELECT doc_id, s, sum(CASE WHEN l IS NULL OR s - l > {length} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM {name}_s) GROUP BY doc_id, r)"""
+
+
+PHRASES = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents), {_runs("gone", 400)}, {_runs("seen", 200)},
+cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS o FROM gone),
+kept AS (SELECT d.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * o + 1, 2 * (a - o)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS body FROM cut JOIN d ON d.doc_id = cut.doc_id GROUP BY 1),
+again AS (SELECT doc_id, sum(b - a) AS n_repeated FROM seen GROUP BY 1)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(body, x))) AS kept_sha256, CAST(coalesce(n_repeated, 0) AS BIGINT) AS n_repeated
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN again ON d.doc_id = again.doc_id
+"""
+
+SQL = {"op2_decontamination": DECONTAMINATION, "op6_substring_dedup": SUBSTRINGS, "op7_jaccard_join": JACCARD, "op10_phrase_dedup": PHRASES}

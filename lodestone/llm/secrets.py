@@ -29,19 +29,32 @@ WEAK = (
     ("endpoint", "endpoint", r"((?:https?|ftp|ssh|postgres(?:ql)?|mysql|redis|amqp|mongodb)://[^\x00-\x20\"'<>]+)", 1, 8),
 )
 KINDS = BASE + WEAK
+#: What every match holds, in lower case: texts without any of it aren't searched.  Kinds that aren't listed are tested by their pattern.
+HOLDS = {
+    "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),
+    "access": ("akia",),
+    "account": ("accesskey", "access_key", "clientid", "client_id", "account", "user", "login"),
+    "endpoint": ("://",),
+}
 #: Code points between parts of one credential, at most.
 SCOPE = 200
 
 
-def matches(text: Column, kind: tuple) -> Column:
-    """An array of (kind, nth, gap before the match, length of the match, length of the group, match)."""
+def matches(text: Column, low: Column, kind: tuple) -> Column:
+    """An array of (kind, nth, gap before the match, length of the match, length of the group, match); null where
+    the text can't have any.  low: the text in lower case."""
     name, _, pattern, group, _ = kind
     pattern = F.lit(AT_ONCE.get(name, pattern))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     inner = whole if group == 1 else F.transform(F.regexp_extract_all(text, pattern, F.lit(group)), lambda v: v)
     zipped = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), inner.alias("inner"))
-    return F.transform(
+    worth = F.lit(False)
+    for held in HOLDS.get(name, ()):
+        worth = worth | F.contains(low, F.lit(held))
+    if name not in HOLDS:
+        worth = F.regexp_like(text, pattern)
+    found = F.transform(
         zipped,
         lambda x, i: F.struct(
             F.lit(name).alias("kind"),
@@ -53,6 +66,7 @@ def matches(text: Column, kind: tuple) -> Column:
             F.when(F.lit(name == "opaque"), x["whole"]).alias("value"),
         ),
     )
+    return F.when(worth, found)
 
 
 def number(kind: Column) -> Column:
@@ -66,8 +80,8 @@ def number(kind: Column) -> Column:
 def parts(docs: DataFrame) -> DataFrame:
     """(doc, th, kind, role, weak, start, end) of all strong parts and weak candidates; docs is what
     identified() gives, each document once."""
-    found = F.filter(F.array(*(matches(F.col("text"), k) for k in KINDS)), lambda a: F.size(a) > 1)
-    each = docs.select("doc", "th", F.explode(F.flatten(found)).alias("m")).select("doc", "th", "m.*")
+    found = F.filter(F.array(*(matches(F.col("text"), F.col("low"), k) for k in KINDS)), lambda a: a.isNotNull() & (F.size(a) > 1))
+    each = docs.withColumn("low", F.lower("text")).select("doc", "th", F.explode(F.flatten(found)).alias("m")).select("doc", "th", "m.*")
     # What lies before a match: all gaps up to it, and all matches before it.
     order = Window.partitionBy("doc", "th", "kind").orderBy("nth")
     before = F.sum(F.col("gap") + F.coalesce("size", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
@@ -92,13 +106,26 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     return weak.join(others, ["doc", "th", "bin"]).where(near & apart & complementary).select("doc", "th", "kind", "start", "end").distinct()
 
 
+def reported(docs: DataFrame, scope: int) -> DataFrame:
+    """(doc, th, kind, start, end): the base spans and the weak ones that have a complement."""
+    found = kept(parts(docs))
+    return found.where("not weak").select("doc", "th", "kind", "start", "end").unionByName(linked(found, scope))
+
+
 def spans_by_document(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(doc, th, spans): the reported spans of each document that has any, by start and kind, as
     (start, place of the kind, end, kind, weak)."""
-    found = kept(parts(docs))
-    all_ = found.where("not weak").select("doc", "th", "kind", "start", "end").unionByName(linked(found, scope))
     one = F.struct("start", number(F.col("kind")).alias("nth"), "end", "kind", (number(F.col("kind")) >= len(BASE)).alias("weak"))
-    return all_.groupBy("doc", "th").agg(F.array_sort(F.collect_set(one)).alias("spans"))
+    return reported(docs, scope).groupBy("doc", "th").agg(F.array_sort(F.collect_set(one)).alias("spans"))
+
+
+def runs_by_document(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """(doc, th, runs): the reported spans, those that overlap or touch as one (start, end), ascending."""
+    order = Window.partitionBy("doc", "th").orderBy("start", "end")
+    far = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    first = reported(docs, scope).withColumn("new", F.when(F.col("start") <= far, 0).otherwise(1))
+    run = first.withColumn("run", F.sum("new").over(order)).groupBy("doc", "th", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return run.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
 def once(docs: DataFrame, unique: bool) -> DataFrame:
@@ -118,19 +145,18 @@ def scan(docs: DataFrame, scope: int = SCOPE, text: str = "text", doc_id: str =
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with every reported span masked in its text; spans that touch share one mask.  All rows and columns stay."""
+    """docs with every reported span masked in its text; spans that touch share one mask.  All rows and columns stay,
+    whatever their names; null and empty texts stay as they are, and rows that agree in id and text are masked alike."""
     named = docs.withColumn("__all", F.struct(*docs.columns))
     source, unique = identified(named, doc_id, text, ("__all",))
-    found = spans_by_document(once(source.select("doc", "th", "text"), unique), scope)
-    state = "struct<text:string,at:bigint>"
-    body = F.col("text")
-    step = lambda a, s: F.when(
-        s["start"] > a["at"], F.struct(F.concat(a["text"], F.substring(body, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mask)).alias("text"), s["end"].alias("at"))
-    ).otherwise(F.struct(F.when(a["text"] == "", F.lit(mask)).otherwise(a["text"]).alias("text"), F.greatest(a["at"], s["end"]).alias("at")))
-    first = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")).cast(state)
-    masked = F.aggregate("spans", first, lambda a, s: step(a, s).cast(state), lambda a: F.concat(a["text"], F.substring(body, (a["at"] + 1).cast("int"), F.lit(2147483647))))
+    found = runs_by_document(once(source.select("doc", "th", "text"), unique), scope)
+    body, runs = F.col("text"), F.col("runs")
+    cut = lambda start, end: F.substring(body, (start + 1).cast("int"), (end - start).cast("int"))
+    before = F.transform(runs, lambda r, i: cut(F.when(i > 0, F.element_at(runs, F.greatest(i, F.lit(1)))["end"]).otherwise(0), r["start"]))
+    last = F.element_at(runs, -1)["end"]
+    masked = F.concat(F.array_join(before, mask), F.lit(mask), cut(last, F.length(body)))
     joined = source.join(found, ["doc", "th"], "left")
-    new = F.when(F.col("spans").isNull(), body).otherwise(masked)
+    new = F.when(runs.isNull(), body).otherwise(masked)
     return joined.select("__all", new.alias("__text")).select(*(F.col("__text").alias(c) if c == text else F.col("__all")[c].alias(c) for c in docs.columns))
 
 

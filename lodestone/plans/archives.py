@@ -32,6 +32,22 @@ class Tables:
     chunks: DataFrame
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); one is made up on a single machine only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="lodestone-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def options_of(settings: dict | None) -> dict | None:
+    """An archive's range settings as options of a configuration; what they don't tell has its default."""
+    return None if settings is None else dict(S.OPTION_DEFAULTS) | {k: v for k, v in settings.items() if k in S.OPTION_DEFAULTS}
+
+
 def open_archives(spark: SparkSession, path: str, **options: str) -> Tables:
     t = {name: table(spark, path, name, **options) for name in ("files", "dirs", "volumes", "chunks")}
     return Tables(t["files"], t["dirs"], t["volumes"], layout.corrected_sizes(t["chunks"], t["volumes"]))
@@ -86,10 +102,7 @@ def unpack(spark: SparkSession, path: str, output: str) -> DataFrame:
     keep = spark.createDataFrame(list(last.items()), "path string, file_idx int")
     parts = contents(spark, path)
     write_files(parts.join(keep, ["path", "file_idx"], "left_semi"), output)
-    options = None
-    if head.range is not None:
-        known = head.range.asDict()
-        options = dict(S.OPTION_DEFAULTS) | {k: v for k, v in known.items() if k in S.OPTION_DEFAULTS}
+    options = options_of(head.range and head.range.asDict())
     names = [r.name for r in t.volumes.orderBy("volume_id").collect()]
     entries = [{"path": r.path, "archive_file_index": r.archive_file_index, "compression": r.compression, "modifiers": ""} for r in rows]
     with files.writer(f"{output}/{stem}.toml") as out:
@@ -132,7 +145,7 @@ def pack_frames(entries: DataFrame, archives: list[str], output: str, staging: s
 def _staged(entries: DataFrame, staging: str | None, *by: str) -> DataFrame:
     """The entries with their data encoded, as a table in a folder for each value of `by`."""
     spark = entries.sparkSession
-    staged_at = f"{staging or spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='lodestone-')}/pack-{uuid.uuid4().hex}"
+    staged_at = f"{staging or shared_folder(spark)}/pack-{uuid.uuid4().hex}"
     rows = encoded(entries.select("file_idx", "path", F.col("volume").cast("int").alias("volume"), "method", "data", *by))
     rows.write.partitionBy(*by).parquet(staged_at)
     return spark.read.schema(rows.schema).parquet(staged_at)
@@ -152,9 +165,10 @@ def _write(staged: DataFrame, archives: list[str], output: str) -> DataFrame:
     placed = layout.running_offsets(layout.with_directory_ids(named, dictionary), "stored_length", "file_idx", base)
     # Columns, as rows of Python take several times the memory.
     columns = ("file_idx", "name", "path", "dir_id", "offset", "stored_length", "original_length", "flags", "volume")
+    n = meta.count()
+    if n > 0xFFFF:
+        raise S.ArchiveError("Io", f"{n} files; the format holds {0xFFFF}")
     rows = placed.select(*columns).orderBy("file_idx").toArrow()
-    if rows.num_rows > 0xFFFF:
-        raise S.ArchiveError("Io", f"{rows.num_rows} files; the format holds {0xFFFF}")
     index, names, path, dir_ids, *chunk = (rows.column(c).to_pylist() for c in columns)
     for k, (i, name, p, volume) in enumerate(zip(index, names, path, chunk[-1], strict=True)):
         if i != k:
@@ -186,12 +200,11 @@ def pack(spark: SparkSession, config_path: str, output: str) -> DataFrame:
     def read(batches):
         import pyarrow as pa
 
+        # One file after the other, as together they may be large.
         for batch in batches:
-            data = []
-            for p in batch.column("path").to_pylist():
+            for k, p in enumerate(batch.column("path").to_pylist()):
                 with files.open_file(f"{base}/{p}" if "://" in base else f"{uri.removeprefix('file://')}/{p}") as f:
-                    data.append(f.read())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=[*batch.schema.names, "data"])
+                    yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, pa.array([f.read()], pa.binary())], names=[*batch.schema.names, "data"])
 
     spread = entries.repartition(max(1, len(c["files"]) // 64 + 1), "file_idx")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

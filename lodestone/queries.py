@@ -7,8 +7,10 @@ and read them again.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,10 @@ from lodestone import schema as S
 from lodestone.functions import codec, flags, paths
 from lodestone.operators import layout, listing
 from lodestone.plans import archives
-from lodestone.sources.config import parsed_lines
+from lodestone.sources import files
+from lodestone.sources.archive import table
+from lodestone.sources.config import parsed_lines, read_config
+from lodestone.sources.header import Header, serialise
 
 Q = dict[str, DataFrame]
 
@@ -362,10 +367,15 @@ def config_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 METHOD_OF = ("Copy", "Zlib", "Bzip", "Lzma", "Zero")
 
 
+def local(path: str) -> str:
+    """A path of this machine's files without its scheme."""
+    return path.removeprefix("file://")
+
+
 def packed_archives(spark: SparkSession, sf_dir: str, most: int = 0xFFFF) -> str:
     """The documents as the files of archives of three volumes, in a folder of the shared one.  An archive holds `most`
     documents, so there are as many archives as it takes."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='lodestone-')}".removeprefix("file://")
+    folder = local(archives.shared_folder(spark))
     k = F.col("doc_id")
     entries = read(spark, sf_dir, "documents").select(
         F.floor(k / most).cast("long").alias("archive"),
@@ -375,8 +385,6 @@ def packed_archives(spark: SparkSession, sf_dir: str, most: int = 0xFFFF) -> str
         F.element_at(F.array(*map(F.lit, METHOD_OF)), (k % 5 + 1).cast("int")).alias("method"),
         F.col("text").cast("binary").alias("data"),
     )
-    import uuid
-
     out = f"{folder}/archives-{uuid.uuid4().hex}"
     archives.pack_frames(entries, ["{}.dz", "{}.one", "{}.two"], out)
     return out
@@ -391,17 +399,163 @@ _E2E = """CASE WHEN doc_id % 10 = 0 THEN '' ELSE concat(lang, {sep}, source, '/'
 
 
 @query(f"""SELECT doc_id AS file_idx, 'OK' AS status, octet_length(encode(text)) AS size, ['Copy', 'Zlib', 'Bzip', 'LZMA', 'Zero'][doc_id % 5 + 1] AS method,
-concat({_E2E.format(sep='chr(92)')}, 'doc_', doc_id, '.txt') AS path, true AS length_match FROM documents WHERE doc_id < 65535""")
+concat({_E2E.format(sep='chr(92)')}, 'doc_', doc_id, '.txt') AS path, true AS length_match FROM documents""")
 def archive_e2e(spark: SparkSession, sf_dir: str, most: int = 0xFFFF) -> DataFrame:
     """Packs the documents, as many archives as it takes, and verifies all of them."""
     return archives.verify(spark, packed_archives(spark, sf_dir, most), perPartition="1").select(file_number(most), "status", "size", "method", "path", "length_match")
 
 
-@query(f"""SELECT doc_id AS file_idx, concat({_E2E.format(sep="'/'")}, 'doc_', doc_id, '.txt') AS path, md5(CASE WHEN doc_id % 5 = 4 THEN repeat(chr(0), octet_length(encode(text))) ELSE text END) AS md5 FROM documents WHERE doc_id < 65535""")
+@query(f"""SELECT doc_id AS file_idx, concat({_E2E.format(sep="'/'")}, 'doc_', doc_id, '.txt') AS path, md5(CASE WHEN doc_id % 5 = 4 THEN repeat(chr(0), octet_length(encode(text))) ELSE text END) AS md5 FROM documents""")
 def archive_extract(spark: SparkSession, sf_dir: str, most: int = 0xFFFF) -> DataFrame:
     """Packs the documents, as many archives as it takes, and decodes all files again."""
     return archives.contents(spark, packed_archives(spark, sf_dir, most), perPartition="1").select(file_number(most), "path", F.md5("data").alias("md5"))
 
 
+def unpacked_folders(spark: SparkSession, sf_dir: str, most: int) -> dict[int, str]:
+    """The documents packed, then every archive extracted to a folder of its own, by the archives' numbers."""
+    packed = packed_archives(spark, sf_dir, most)
+    numbers = [int(r.archive.rpartition("/")[2].removesuffix(".dz")) for r in table(spark, packed, "archives").select("archive").collect()]
+    for k in numbers:
+        archives.unpack(spark, f"{packed}/{k}.dz", f"{packed}/files/{k}")
+    return {k: f"{packed}/files/{k}" for k in sorted(numbers)}
+
+
+@query(f"""SELECT doc_id // 65535 AS archive, concat({_E2E.format(sep="'/'")}, 'doc_', doc_id, '.txt') AS path, octet_length(encode(text)) AS size, md5(CASE WHEN doc_id % 5 = 4 THEN repeat(chr(0), octet_length(encode(text))) ELSE text END) AS md5 FROM documents""")
+def unpack_files(spark: SparkSession, sf_dir: str, most: int = 0xFFFF) -> DataFrame:
+    """Packs the documents, extracts all archives and reads the files that this has written."""
+    folders = unpacked_folders(spark, sf_dir, most)
+    root = folders[min(folders)].rpartition("/")[0]
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(f"file://{root}")
+    inside = F.substring_index("path", f"{root}/", -1)
+    return found.select(F.substring_index(inside, "/", 1).cast("long").alias("archive"), F.regexp_replace(inside, "^[0-9]+/", "").alias("path"), F.col("length").alias("size"), F.md5("content").alias("md5"))
+
+
+def repacked(spark: SparkSession, folders: dict[int, str], config: str) -> str:
+    """Packs what each folder's configuration lists, and returns the folder with the new archives."""
+    out = f"{folders[min(folders)].rpartition('/')[0]}/again-{uuid.uuid4().hex}"
+    for k, folder in folders.items():
+        archives.pack(spark, f"{folder}/{config.format(k)}", f"{out}/{k}")
+    return ",".join(f"{out}/{k}/{k}.dz" for k in folders)
+
+
+@query(f"""SELECT doc_id AS file_idx, 'OK' AS status, octet_length(encode(text)) AS size, ['Copy', 'Zlib', 'Bzip', 'LZMA', 'Zero'][doc_id % 5 + 1] AS method,
+concat({_E2E.format(sep='chr(92)')}, 'doc_', doc_id, '.txt') AS path, true AS length_match FROM documents""")
+def pack_toml(spark: SparkSession, sf_dir: str, most: int = 0xFFFF) -> DataFrame:
+    """Packs the documents, extracts all archives, packs them once more by the TOML that the extraction wrote, and verifies the result."""
+    again = repacked(spark, unpacked_folders(spark, sf_dir, most), "{}.toml")
+    return archives.verify(spark, again, perPartition="1").select(file_number(most), "status", "size", "method", "path", "length_match")
+
+
+@query(f"""SELECT doc_id AS file_idx, concat({_E2E.format(sep="'/'")}, 'doc_', doc_id, '.txt') AS path, md5(CASE WHEN doc_id % 5 = 4 THEN repeat(chr(0), octet_length(encode(text))) ELSE text END) AS md5 FROM documents""")
+def pack_lines(spark: SparkSession, sf_dir: str, most: int = 0xFFFF) -> DataFrame:
+    """Packs the documents, extracts all archives, packs them once more by configurations of lines, and decodes the result."""
+    folders = unpacked_folders(spark, sf_dir, most)
+    for k, folder in folders.items():
+        listed = read_config(f"{folder}/{k}.toml")["files"]
+        lines = ["# made of the extraction's configuration", *(f"ARCHIVE {k}.{x}" for x in ("dz", "one", "two")), "basedir ."]
+        lines += [f"file\t{f['path'].replace('/', chr(92))} {f['archive_file_index']}  {f['compression'].upper()} as is" for f in listed]
+        with files.writer(f"{folder}/{k}.cfg") as out:
+            out.write("\r\n".join(lines).encode())
+    again = repacked(spark, folders, "{}.cfg")
+    return archives.contents(spark, again, perPartition="1").select(file_number(most), "path", F.md5("data").alias("md5"))
+
+
+def stored_oddly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts three times over, stored in ways that decoding forgives, or not, by number."""
+    import bz2
+    import zlib
+
+    for b in batches:
+        out = []
+        for k, text in zip(b.column("doc_id").to_pylist(), b.column("data").to_pylist(), strict=True):
+            text *= 3
+            gzip = zlib.compressobj(6, zlib.DEFLATED, 31)
+            kinds = (
+                (S.ZLIB, zlib.compress(text)),
+                (S.ZLIB, (gzip.compress(text) + gzip.flush())[:-4]),
+                (S.ZLIB, b"\x01" + text),
+                (S.BZIP, b"\x01" + text),
+                (S.LZMA, b"\x01" + text),
+                (S.MP3, text),
+                (S.JPEG, text),
+                (S.RANDOMACCESS, text),
+                (S.BZIP, bz2.compress(text)[:-9]),
+                (S.COMBUF, text),
+            )
+            flags, data = kinds[k % len(kinds)]
+            raw = k % len(kinds) in (2, 3, 4)
+            if len(data) == len(text) and not raw and flags in (S.ZLIB, S.BZIP):
+                data += b"\0"
+            out.append((k, flags, len(data), len(data) if raw else len(text), data))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "flags", "compressed_length", "decompressed_length", "data"])
+
+
+@query("""SELECT doc_id, CASE WHEN k < 2 OR k BETWEEN 5 AND 7 THEN md5(repeat(text, 3)) WHEN k < 5 THEN md5(concat(chr(1), repeat(text, 3))) END AS md5, k BETWEEN 2 AND 4 AS raw_fallback,
+CASE k WHEN 8 THEN 'Io' WHEN 9 THEN 'UnsupportedCompression' END AS error_kind FROM (SELECT doc_id, doc_id % 10 AS k, text FROM documents)""")
+def decode_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A zlib container, gzip without its footer, raw data that is said to be compressed, methods that store bytes as they are,
+    a stream cut off, and a method without decoder."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
+    stored = d.mapInArrow(stored_oddly, "doc_id long, flags int, compressed_length long, decompressed_length long, data binary")
+    return codec.decoded(stored).select("doc_id", F.md5("data").alias("md5"), "raw_fallback", "error_kind")
+
+
+def written_headers(spark: SparkSession, sf_dir: str, damage: bool) -> str:
+    """A folder with an archive for each supplier, which has one file, an empty chunk for the range coder, and range
+    settings by number; on request damaged by number: not, a wrong magic, cut off, a name that isn't UTF-8."""
+    out = f"{local(archives.shared_folder(spark))}/headers-{uuid.uuid4().hex}"
+    files.make_dirs(out)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column("s_suppkey").to_pylist():
+                h = Header(1, 1, k % 256, [f"s{k}.txt"], [(0, [0])], 1, [(0, 0, 0, S.DZ, 0)], [], tuple((k * (j + 3)) % 256 for j in range(10)))
+                data = serialise(h)
+                if damage:
+                    data = (data, b"\x01" + data[1:], data[:-7], data.replace(b"s", b"\xff"))[k % 4]
+                with files.writer(f"{out}/{k}.dz") as f:
+                    f.write(data)
+            yield b
+
+    read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey")).mapInArrow(write, "s_suppkey long").write.format("noop").mode("overwrite").save()
+    return out
+
+
+def supplier() -> Column:
+    return F.regexp_extract("archive", r"(\d+)\.dz$", 1).cast("long").alias("s_suppkey")
+
+
+@query(f"""SELECT k AS s_suppkey, CAST(k % 256 AS INTEGER) AS version, 9 + length(concat('s', k, '.txt')) + 1 + 6 + 4 + 16 + 10 AS header_end, {', '.join(f"CAST((k * {j + 3}) % 256 AS INTEGER) AS {f}" for j, f in enumerate(S.RANGE_FIELDS))},
+'dz' AS option_method, CAST((k * 3) % 256 AS INTEGER) AS option_win_size, CAST((k * 12) % 256 AS INTEGER) AS option_big_min_match, true AS option_preprocess FROM (SELECT CAST(s_suppkey AS BIGINT) AS k FROM supplier)""")
+def range_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers with range settings, written, read as a table and turned into a configuration's options."""
+    found = table(spark, written_headers(spark, sf_dir, False), "archives").select(supplier(), "version", "header_end", "range")
+
+    def options(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [archives.options_of(r) for r in b.column("range").to_pylist()]
+            kinds = {"method": pa.string(), "win_size": pa.int32(), "big_min_match": pa.int32(), "preprocess": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([o[k] for o in got], t) for k, t in kinds.items())], names=[*b.schema.names, *(f"option_{k}" for k in kinds)])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema)
+    return found.mapInArrow(options, f"{kinds}, option_method string, option_win_size int, option_big_min_match int, option_preprocess boolean").select("s_suppkey", "version", "header_end", "range.*", "option_method", "option_win_size", "option_big_min_match", "option_preprocess")
+
+
+@query("""SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, CASE s_suppkey % 4 WHEN 1 THEN 'InvalidHeader' WHEN 2 THEN 'Io' WHEN 3 THEN 'Utf8' END AS error_kind, CASE WHEN s_suppkey % 4 = 0 THEN 1 END AS num_chunks FROM supplier""")
+def header_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of which most are damaged, read permissively."""
+    return table(spark, written_headers(spark, sf_dir, True), "archives", mode="permissive").select(supplier(), "error_kind", "num_chunks")
+
+
+@query(f"""WITH {PATHS}, s AS (SELECT archive, file_idx, CAST(sum(decompressed_length) AS BIGINT) AS size, CAST(sum(corrected) AS BIGINT) AS packed, bool_and(chunk_id % 97 <> 13) AS ok, min_by(flags, pos) AS flags FROM fm_corrected GROUP BY ALL)
+SELECT p.archive, p.file_idx, concat(rpad(CAST(p.file_idx AS VARCHAR), CAST(greatest(5, length(CAST(p.file_idx AS VARCHAR))) AS INTEGER), ' '), ' | ', rpad(CASE WHEN ok THEN 'OK' ELSE 'FAIL' END, 7, ' '), ' | ',
+  rpad(CAST(size AS VARCHAR), CAST(greatest(10, length(CAST(size AS VARCHAR))) AS INTEGER), ' '), ' | ', rpad(CAST(packed AS VARCHAR), CAST(greatest(10, length(CAST(packed AS VARCHAR))) AS INTEGER), ' '), ' | ',
+  rpad(CASE WHEN flags = 8 THEN 'Zlib' WHEN flags = 16 THEN 'Bzip' WHEN flags = 512 THEN 'LZMA' WHEN flags = 256 THEN 'Copy' WHEN flags = 128 THEN 'Zero' ELSE 'Dz' END, 8, ' '), ' | ', report_path) AS line
+FROM fm_paths p JOIN s ON p.archive = s.archive AND p.file_idx = s.file_idx""")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as the text that is shown."""
+    return listing.report_text(verify_listing(spark, sf_dir))
+
+
 QUERIES = {name: f for name, (f, _) in REGISTERED.items()}
 SQL = {name: sql for name, (_, sql) in REGISTERED.items() if sql}

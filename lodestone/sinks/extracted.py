@@ -26,20 +26,25 @@ class FileWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Extracted:
         done, out, current = [], None, None
         attempt = uuid.uuid4().hex
-        for row in iterator:
-            if row["path"] != current:
-                if out:
-                    out.close()
-                current = row["path"]
-                target = f"{self.folder}/{current}"
-                files.make_dirs(target.rpartition("/")[0])
-                name = f"{target}.{attempt}.part"
-                out = files.writer(name)
-                done.append((name, target))
-            if row["data"] is not None:
-                out.write(row["data"])
-        if out:
-            out.close()
+        try:
+            for row in iterator:
+                if row["path"] != current:
+                    if out:
+                        out.close()
+                    current = row["path"]
+                    target = f"{self.folder}/{current}"
+                    files.make_dirs(target.rpartition("/")[0])
+                    name = f"{target}.{attempt}.part"
+                    done.append((name, target))
+                    out = files.writer(name)
+                if row["data"] is not None:
+                    out.write(row["data"])
+            if out:
+                out.close()
+        except BaseException:
+            # The driver only hears of tasks that succeed.
+            files.drop(out, [name for name, _ in done])
+            raise
         return Extracted(done)
 
     def commit(self, messages: list[Extracted | None]) -> None:

@@ -34,24 +34,29 @@ class VolumeWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Written:
         done, out, current, at, name = [], None, None, 0, ""
         attempt = uuid.uuid4().hex
-        for row in iterator:
-            if row["volume"] != current:
-                if out:
-                    out.close()
-                    done.append((current, name, at))
-                current, at = row["volume"], 0
-                name = f"{self.folder}/.{self.tag}-{current}-{attempt}"
-                out = files.writer(name)
-                if current == 0:
-                    out.write(self.header)
-                    at = len(self.header)
-            if row["offset"] != at:
-                raise ValueError(f"a chunk of volume {current} belongs at {row['offset']}, the volume ends at {at}")
-            out.write(row["data"])
-            at += len(row["data"])
-        if out:
-            out.close()
-            done.append((current, name, at))
+        try:
+            for row in iterator:
+                if row["volume"] != current:
+                    if out:
+                        out.close()
+                        done.append((current, name, at))
+                    current, at = row["volume"], 0
+                    name = f"{self.folder}/.{self.tag}-{current}-{attempt}"
+                    out = files.writer(name)
+                    if current == 0:
+                        out.write(self.header)
+                        at = len(self.header)
+                if row["offset"] != at:
+                    raise ValueError(f"a chunk of volume {current} belongs at {row['offset']}, the volume ends at {at}")
+                out.write(row["data"])
+                at += len(row["data"])
+            if out:
+                out.close()
+                done.append((current, name, at))
+        except BaseException:
+            # The driver only hears of tasks that succeed.
+            files.drop(out, [*(n for _, n, _ in done), name])
+            raise
         return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:

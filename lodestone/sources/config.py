@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tomllib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 from lodestone import schema as S
-from lodestone.functions.flags import parse_method
-from lodestone.functions.paths import resolve
 from lodestone.sources import files
 
-#: Keys of line configurations that set a number: key, option, value if it isn't one.
+#: White space between words, and the ends of lines.
+SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+LINE_END = re.compile("\\r?\\n")
+#: Fixed values of line configurations: keys that set a number, the option, its value if the word isn't a number.
 NUMBERS = {
     "max_mem_usage": ("max_mem_usage", -1),
     "winsize": ("win_size", 16),
@@ -43,23 +46,34 @@ def _number(text: str, otherwise: int) -> int:
     return int(text) if low <= int(text) <= high else otherwise
 
 
+def line_words(line: str) -> list[str]:
+    """The words of a line; none of an empty line or a comment."""
+    words = [w for w in SPACE.split(line) if w]
+    return [] if words and words[0].startswith("#") else words
+
+
+def file_entry(rest: list[str]) -> dict:
+    """What a line `file path index method modifiers...` lists."""
+    index, method = rest[1].removeprefix("+"), S.SPELLINGS.get(rest[2].lower())
+    if not (index.isascii() and index.isdigit() and int(index) <= 0xFFFF):
+        raise ValueError(f"not an archive index: {rest[1]!r}")
+    if method is None:
+        raise ValueError(f"not a compression method: {rest[2]!r}")
+    return {"path": normal_path(rest[0]), "archive_file_index": int(index), "compression": method, "modifiers": " ".join(rest[3:])}
+
+
 def parse_lines(text: str) -> dict:
     out = {"archives": [], "base_dir": ".", "files": [], "options": dict(S.OPTION_DEFAULTS)}
-    for line in text.splitlines():
-        words = line.split()
-        if not words or words[0].startswith("#"):
+    for line in LINE_END.split(text):
+        words = line_words(line)
+        if not words:
             continue
         key, rest = words[0].lower(), words[1:]
         if key in NUMBERS and rest:
             option, otherwise = NUMBERS[key]
             out["options"][option] = _number(rest[0], otherwise)
         elif key == "file" and len(rest) >= 3:
-            index, method = rest[1], S.SPELLINGS.get(rest[2].lower())
-            if not (index.removeprefix("+").isdigit() and int(index) <= 0xFFFF):
-                raise ValueError(f"not an archive index: {index!r}")
-            if method is None:
-                raise ValueError(f"not a compression method: {rest[2]!r}")
-            out["files"].append({"path": normal_path(rest[0]), "archive_file_index": int(index), "compression": method, "modifiers": " ".join(rest[3:])})
+            out["files"].append(file_entry(rest))
         elif key == "archive" and rest:
             out["archives"].append(rest[0])
         elif key == "basedir" and rest:
@@ -124,19 +138,24 @@ def to_toml(config: dict) -> str:
 
 
 def parsed_lines(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Lines of configurations as rows: key, words after it, and for valid file lines path, archive_file_index,
-    compression and modifiers.  Other columns stay."""
-    text: Column = F.trim(F.regexp_replace(F.col(line), r"\s+", " "))
-    words = F.split(text, " ")
-    is_file = (F.lower(F.get(words, F.lit(0))) == "file") & (F.size(words) >= 4)
-    index = F.get(words, F.lit(2))
-    valid = F.when(index.rlike(r"^\+?[0-9]{1,9}$"), index.cast("int"))
-    return (
-        lines.where(~F.col(line).rlike(r"^\s*(#|$)"))
-        .withColumn("key", F.lower(F.get(words, F.lit(0))))
-        .withColumn("rest", F.array_join(F.slice(words, F.lit(2), F.size(words)), " "))
-        .withColumn("path", F.when(is_file, resolve(F.get(words, F.lit(1)))))
-        .withColumn("archive_file_index", F.when(is_file & (valid <= 0xFFFF), valid))
-        .withColumn("compression", F.when(is_file, parse_method(F.get(words, F.lit(3)))))
-        .withColumn("modifiers", F.when(is_file, F.array_join(F.slice(words, F.lit(5), F.size(words)), " ")))
-    )
+    """Lines of configurations as rows, read as parse_lines() reads them: key, words after it, and for valid file lines
+    path, archive_file_index, compression and modifiers.  Empty lines and comments go, as do nulls; other columns stay."""
+    added = {"key": pa.string(), "rest": pa.string(), "path": pa.string(), "archive_file_index": pa.int32(), "compression": pa.string(), "modifiers": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [line_words(x or "") for x in b.column(line).to_pylist()]
+            rows = []
+            for w in filter(None, words):
+                entry = {}
+                if w[0].lower() == "file" and len(w) >= 4:
+                    try:
+                        entry = file_entry(w[1:])
+                    except ValueError:
+                        pass
+                rows.append({"key": w[0].lower(), "rest": " ".join(w[1:])} | entry)
+            kept = b.filter(pa.array([bool(w) for w in words], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array([r.get(k) for r in rows], t) for k, t in added.items())], names=[*b.schema.names, *added])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
+    return lines.mapInArrow(run, f"{kinds}, key string, rest string, path string, archive_file_index int, compression string, modifiers string")

@@ -67,3 +67,11 @@ def remove(path: str) -> None:
 def writer(path: str) -> Any:
     fs, inner = at(path)
     return fs.open_output_stream(inner)
+
+
+def drop(out: Any, paths: list[str]) -> None:
+    """Closes a file that isn't wanted any more and removes what was written."""
+    if out:
+        out.close()
+    for p in filter(None, paths):
+        remove(p)

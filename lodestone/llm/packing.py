@@ -1,70 +1,62 @@
 """Best-fit packing of token sequences in bulk-synchronous supersteps.
 
-Documents are range-sorted by length and gaps by size.  A superstep takes the longest
-documents that are left, sweeps to the successor of their length among the gaps
-(the smallest gap that holds them), lets the r-th document have the r-th of those
-gaps, and updates the gaps; it repeats until none is left.  As lengths are whole
-numbers up to the capacity, all documents of a length and all gaps of a size are
-interchangeable: a superstep is arithmetic on ranges of ranks and of sequence numbers,
-so the sweeps need only the number of documents of each length.  The
-documents themselves are ranked where they are and look their places up.
+A superstep range-sorts the documents that are left and the gaps by size, largest first, a gap before
+the documents of its size.  A sweep gives each document its successor, the smallest gap that holds it;
+of documents that want one gap the first by rank gets it and the next ones go on to the gap above, which is how
+brackets match: each task sweeps its range, and what it leaves meets the other tasks' by
+ranks, for which only two counts a task reach the driver.  Then the gaps are updated, sequences are opened
+for what can't have room, and the next superstep begins.  It starts with a sequence for each document of more than
+half the capacity, and the last LAST documents are placed one by one in a single task.
 """
 
 from __future__ import annotations
 
+import bisect
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, distinct, in_bytes, parts, ranges, same_bytes, word_hashes
-from .session import bounded, doc_ids, identified, kept, read
+from .session import bounded, discard, doc_ids, identified, kept, read
 
-#: Tokens in a sequence; the token after each document; shares of a length that are ranked apart.
-CAPACITY, END_TOKEN, SHARES = 2048, 0, 256
+#: Tokens in a sequence; the token after each document.
+CAPACITY, END_TOKEN = 2048, 0
+#: Documents and gaps that a task sweeps, about; documents that are placed one by one in the end.
+SWEPT, LAST = 200_000, 2000
 #: Distinct fragments whose tokens a task remembers, about.
 REMEMBERED = 400_000
 
 
-def superstep_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarray]:
-    """Best-fit decreasing over the number of items of each length.
-
-    Returns ranges: the items of `length` with ranks from `rank` on go, one each, into the sequences
-    from `sequence` on, at `offset`.
-    """
-    pool: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
-    plan: list[tuple[int, int, int, int]] = []
-    opened = 0
-    for length in sorted(histogram, reverse=True):
-        rank, left = 0, histogram[length]
-        gap = length
-        while left:
-            while gap <= capacity and not pool[gap]:
-                gap += 1
-            if gap > capacity:
-                new = -(-left // (capacity // length))
-                pool[capacity].append((opened, new))
-                opened += new
-                gap = capacity
-            first, n = pool[gap].pop()
-            # What an item leaves is the next one's successor: gaps are filled one by one, the last with what remains.
-            per = gap // length
-            full = min(n, left // per)
-            rest = left - full * per if full < n else 0
-            for begin, many, each in ((first, full, per), (first + full, min(rest, 1), rest)):
-                if many:
-                    plan += [(length, rank + k * many, begin, capacity - gap + k * length) for k in range(each)]
-                    pool[gap - each * length].append((begin, many))
-                    rank, left = rank + each * many, left - each * many
-            taken = full + min(rest, 1)
-            if taken < n:
-                pool[gap].append((first + taken, n - taken))
-    columns = np.array(sorted(plan), dtype=np.int64).reshape(-1, 4).T
-    return dict(zip(("length", "rank", "sequence", "offset"), columns, strict=True)) | {"opened": np.array([opened])}
+def bracket_matches(is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (document, gap) of all pairs, when each document in turn takes the nearest gap before it that is left."""
+    depth = np.cumsum(np.where(is_gap, 1, -1))
+    level = depth + ~is_gap
+    order = np.argsort(level, kind="stable")
+    a, b = order[:-1], order[1:]
+    pair = (level[a] == level[b]) & is_gap[a] & ~is_gap[b]
+    return b[pair], a[pair]
+
+
+def best_fit(lengths: list[int], gaps: list[int], capacity: int) -> list[tuple[int, int, int]]:
+    """Best-fit decreasing, one by one: (item, gap or one of the new ones numbered on, what is left of it then).  The
+    item lies where capacity less that and its length is."""
+    left = sorted((g, k) for k, g in enumerate(gaps))
+    opened, out = len(gaps), []
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        at = bisect.bisect_left(left, (lengths[i], -1))
+        if at < len(left):
+            g, k = left.pop(at)
+        else:
+            g, k, opened = capacity, opened, opened + 1
+        bisect.insort(left, (g - lengths[i], k))
+        out.append((i, k, g - lengths[i]))
+    return out
 
 
 def fragment_classes() -> np.ndarray:
@@ -206,44 +198,138 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY
     return docs.mapInArrow(scan, "doc long, th long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, shares: int = SHARES) -> DataFrame:
-    """pieces with sequence_id and offset, by best fit.  pieces must give the same rows each time it
-    is read.  At most `capacity` counts reach the driver; a length is ranked in `shares`
-    shares, so that no task gets all documents of a frequent one."""
+STATE = "row long, length int, seq long, size int"
+
+
+def swept(rows: DataFrame, tasks: int) -> DataFrame:
+    """One sweep over each range of sizes: pairs (row, length, seq, size), and what is left, documents without seq and size, gaps
+    without row and length; part and nth say in which range and as the how-manieth of its kind."""
+    order = [F.desc("size"), F.col("row").isNotNull(), F.xxhash64(F.coalesce("row", "seq"))]
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        row, length, seq, size = (table.column(c).combine_chunks() for c in ("row", "length", "seq", "size"))
+        is_gap = np.asarray(row.is_null())
+        doc, gap = bracket_matches(is_gap)
+        free = np.ones(len(is_gap), dtype=bool)
+        free[doc] = free[gap] = False
+        docs, gaps = np.flatnonzero(free & ~is_gap), np.flatnonzero(free & is_gap)
+        part = TaskContext.get().partitionId()
+        for d, g in ((doc, gap), (docs, None), (None, gaps)):
+            n = len(d if d is not None else g)
+            none = lambda kind: pa.nulls(n, kind)  # noqa: B023,E731
+            left = d is None or g is None
+            yield pa.RecordBatch.from_arrays(
+                [row.take(pa.array(d)) if d is not None else none(pa.int64()), length.take(pa.array(d)) if d is not None else none(pa.int32()), seq.take(pa.array(g)) if g is not None else none(pa.int64()), size.take(pa.array(g)) if g is not None else none(pa.int32()), pa.array(np.full(n, part), pa.int32()) if left else none(pa.int32()), pa.array(np.arange(n), pa.int32()) if left else none(pa.int32())],
+                names=["row", "length", "seq", "size", "part", "nth"],
+            )
+
+    return rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(sweep, f"{STATE}, part int, nth int")
+
+
+def by_rank(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(part, first, end, part of the gaps, the gap that the first takes) for ranges of documents left: these take the last gaps of
+    the ranges before that are left, one after the other.  left: (part, documents, gaps)."""
+    out, stack = [], []
+    for part, docs, gaps in sorted(left):
+        nth = 0
+        while nth < docs and stack:
+            other, there = stack.pop()
+            n = min(docs - nth, there)
+            out.append((part, nth, nth + n, other, there - 1))
+            nth += n
+            if there > n:
+                stack.append((other, there - n))
+        if gaps:
+            stack.append((part, gaps))
+    return out
+
+
+def across(found: DataFrame) -> DataFrame:
+    """What the sweeps have left, matched between ranges: found's rows with more pairs among them."""
+    spark = found.sparkSession
+    counts = found.where("part is not null").groupBy("part").agg(F.count("row").alias("docs"), F.count("seq").alias("gaps")).collect()
+    ranges_ = sorted(by_rank([(r.part, r.docs, r.gaps) for r in counts]))
+    if not ranges_:
+        return found.drop("part", "nth")
+    sent = spark.sparkContext.broadcast(np.array(ranges_, dtype=np.int64))
+
+    def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, end, other, gap = sent.value.T
+        for b in batches:
+            p, k = (b.column(c).to_numpy().astype(np.int64) for c in ("part", "nth"))
+            at = np.maximum(np.searchsorted(part << 32 | first, p << 32 | k, side="right") - 1, 0)
+            ok = (part[at] == p) & (first[at] <= k) & (k < end[at])
+            to = [pa.array(x, pa.int32(), mask=~ok) for x in (other[at], gap[at] - (k - first[at]))]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("length"), *to], names=["row", "length", "part", "nth"])
+
+    docs = found.where("part is not null and row is not null").mapInArrow(aim, "row long, length int, part int, nth int")
+    gaps = found.where("part is not null and row is null").select("part", "nth", "seq", "size")
+    met = docs.join(gaps, ["part", "nth"], "full").select("row", "length", "seq", "size")
+    return found.where("part is null").drop("part", "nth").unionByName(met)
+
+
+def one_by_one(docs: DataFrame, gaps: DataFrame, fresh: int, capacity: int) -> DataFrame:
+    """The last documents, as pairs: best fit in a single task."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = sorted(pa.Table.from_batches(held).to_pylist(), key=lambda r: (r["row"] is None, r["row"], r["seq"]))
+        d, g = [r for r in rows if r["row"] is not None], [r for r in rows if r["row"] is None]
+        found = best_fit([r["length"] for r in d], [r["size"] for r in g], capacity)
+        cols = zip(*((d[i]["row"], d[i]["length"], g[k]["seq"] if k < len(g) else -1 - fresh - (k - len(g)), left + d[i]["length"]) for i, k, left in found), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["row", "length", "seq", "size"])
+
+    return docs.unionByName(gaps.orderBy(F.desc("size"), "seq").limit(LAST)).coalesce(1).mapInArrow(fill, STATE)
+
+
+def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """pieces with sequence_id and offset, by best fit.  pieces: a table with a number for each row (row)."""
     spark = pieces.sparkSession
-    share = F.pmod(F.xxhash64("doc", "th", "piece"), F.lit(shares)).cast("int")
-    dealt = pieces.withColumn("share", share)
-    counts = dealt.groupBy("length", "share").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1))
-    bases = counts.select("length", "share", F.coalesce(before, F.lit(0)).alias("base"))
-    histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    sent = spark.sparkContext.broadcast(superstep_plan(histogram, capacity))
-    order = Window.partitionBy("length", "share").orderBy("doc", "th", "piece")
-    ranked = dealt.withColumn("nth", F.row_number().over(order) - 1).join(bases, ["length", "share"]).withColumn("rank", F.col("nth") + F.col("base")).drop("nth", "base", "share")
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = sent.value
-        keys = plan["length"] << 44 | plan["rank"]
-        for batch in batches:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
-            k = np.searchsorted(keys, length << 44 | rank, side="right") - 1
-            rest = [c for c in batch.schema.names if c != "rank"]
-            sequence, offset = plan["sequence"][k] + rank - plan["rank"][k], plan["offset"][k]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(sequence), pa.array(offset)], names=[*rest, "sequence_id", "offset"])
-
-    kinds = ranked.drop("rank").select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
-    return ranked.mapInArrow(look_up, kinds)
+    alone = F.col("length") * 2 > capacity
+    state = pieces.select("row", F.col("length").cast("int").alias("length"), F.when(alone, F.col("row")).alias("seq"), F.when(alone, capacity).cast("int").alias("size"))
+    placed, fresh = [], 0
+    while True:
+        placed.append(state.where("row is not null and seq is not null"))
+        docs = state.where("row is not null and seq is null")
+        n, tokens, least = docs.agg(F.count("*"), F.sum("length"), F.min("length")).first()
+        if not n:
+            break
+        gaps = state.where("seq is not null").select(F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("length"), "seq", (F.col("size") - F.coalesce("length", F.lit(0))).alias("size")).where(F.col("size") >= least)
+        if n <= LAST:
+            placed.append(kept(one_by_one(docs, gaps, fresh, capacity)))
+            break
+        n_gaps, room = gaps.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        new = max(-(-(tokens - room) // capacity), 0 if n_gaps else 1)
+        opened = spark.range(new).select(F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("length"), (-1 - fresh - F.col("id")).alias("seq"), F.lit(capacity).alias("size"))
+        fresh += new
+        both = docs.withColumn("size", F.col("length")).unionByName(gaps.unionByName(opened))
+        found = kept(swept(both, -(-(n + n_gaps + new) // SWEPT)))
+        state = kept(across(found))
+        discard(found)
+    at = placed[0]
+    for p in placed[1:]:
+        at = at.unionByName(p)
+    return pieces.join(at.select("row", F.col("seq").alias("sequence_id"), (capacity - F.col("size")).cast("long").alias("offset")), "row").drop("row")
 
 
 def pack(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, with_ids: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset, and on request its ids.
 
-    A null or empty text is its end token alone.  Repeated rows are packed as often as they
-    occur; a null doc_id stays null.  An empty table packs into nothing.
+    A null or empty text is its end token alone; a long one is cut, however long.  Repeated rows are packed as often as they
+    occur, equal lengths in an order of their own numbers; a null doc_id stays null.  An empty table packs into nothing.  Other
+    columns are not read, whatever their names.
     """
     bounded(docs.sparkSession)
     source, _ = identified(docs, doc_id, text)
-    placed = place(kept(token_pieces(source, vocabulary_path, capacity, with_ids)), capacity)
+    # Written once, so that the rows' numbers stay what they are.
+    numbered = kept(token_pieces(source, vocabulary_path, capacity, with_ids).withColumn("row", F.monotonically_increasing_id()))
+    placed = place(numbered, capacity)
     return placed.select(doc_ids().alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else []))
 
 

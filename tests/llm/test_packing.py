@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import packing as P
 
@@ -25,38 +26,56 @@ def best_fit(lengths, capacity):
     return len(gaps)
 
 
-@pytest.mark.parametrize("capacity", [1, 7, 50, 200])
-def test_plan_is_best_fit(capacity):
-    r = random.Random(capacity)
-    for _ in range(30):
-        lengths = [min(capacity, 1 + int(r.expovariate(3 / capacity))) for _ in range(r.randint(0, 150))]
-        h = collections.Counter(lengths)
-        plan = P.superstep_plan(h, capacity)
-        used = collections.defaultdict(list)
-        rows = list(zip(*(plan[k].tolist() for k in ("length", "rank", "sequence", "offset"))))
-        for k, (n, rank, seq, off) in enumerate(rows):
-            to = rows[k + 1][1] if k + 1 < len(rows) and rows[k + 1][0] == n else h[n]
-            for i in range(to - rank):
-                used[seq + i].append((off, n))
-        assert sum(len(x) for x in used.values()) == len(lengths)
-        for x in used.values():
-            at = 0
-            for off, n in sorted(x):
-                assert off == at
-                at += n
-            assert at <= capacity
-        assert len(used) == int(plan["opened"][0]) or not lengths
-        assert len(used) <= best_fit(lengths, capacity) + 1
-
-
-@pytest.mark.parametrize("seed", range(4))
-def test_plan_opens_as_many_as_one_by_one(seed):
-    assert P.superstep_plan({600: 4, 482: 3}, 2048)["opened"][0] == 2
-    r = random.Random(seed)
-    for _ in range(50):
-        capacity = r.choice([7, 50, 200])
-        lengths = [min(capacity, 1 + int(r.expovariate(5 / capacity))) for _ in range(r.randint(0, 300))]
-        assert P.superstep_plan(collections.Counter(lengths), capacity)["opened"][0] == best_fit(lengths, capacity)
+def by_sweeps(spark, lengths, capacity):
+    """The number of sequences; all of them are filled without gaps and none beyond the capacity."""
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "row long, length long").withColumn("nth", F.col("row"))
+    got = P.place(rows, capacity).collect()
+    assert sorted((r.nth, r.length) for r in got) == list(enumerate(lengths))
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for x in by.values():
+        at = 0
+        for off, n in sorted(x):
+            assert off == at
+            at += n
+        assert at <= capacity
+    return len(by)
+
+
+@pytest.mark.parametrize(("capacity", "last", "swept"), [(1, 2000, 200_000), (200, 2000, 200_000), (50, 20, 30), (2048, 3, 40), (2048, 10, 200_000)])
+def test_supersteps_against_best_fit(spark, monkeypatch, capacity, last, swept):
+    """With the last documents one by one, as many sequences as by best fit; with sweeps over several ranges to the end, too."""
+    monkeypatch.setattr(P, "LAST", last)
+    monkeypatch.setattr(P, "SWEPT", swept)
+    r = random.Random(capacity + last)
+    lengths = [min(capacity, 1 + int(r.expovariate(5 / capacity))) for _ in range(260)]
+    assert by_sweeps(spark, lengths, capacity) <= best_fit(lengths, capacity)
+
+
+def test_brackets():
+    r = random.Random(1)
+    for _ in range(300):
+        gap = np.array([r.random() < 0.5 for _ in range(r.randrange(1, 40))])
+        want, stack = [], []
+        for k, g in enumerate(gap):
+            if g:
+                stack.append(k)
+            elif stack:
+                want.append((k, stack.pop()))
+        assert sorted(zip(*(x.tolist() for x in P.bracket_matches(gap)))) == sorted(want)
+        # The same in ranges, of which each leaves what the others then match.
+        cuts = sorted(r.sample(range(len(gap) + 1), 2)) if len(gap) > 1 else [0, 0]
+        left, found = [], []
+        for part, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(gap)])):
+            d, g = P.bracket_matches(gap[a:b]) if b > a else (np.zeros(0, int),) * 2
+            found += list(zip((d + a).tolist(), (g + a).tolist()))
+            free = [k for k in range(a, b) if k - a not in {*d.tolist(), *g.tolist()}]
+            left.append((part, [k for k in free if not gap[k]], [k for k in free if gap[k]]))
+        docs, gaps = ({p: x[i] for p, *x in left} for i in (0, 1))
+        for p, first, end, other, at in P.by_rank([(p, len(d), len(g)) for p, d, g in left]):
+            found += [(docs[p][first + k], gaps[other][at - k]) for k in range(end - first)]
+        assert sorted(found) == sorted(want)
 
 
 def check(got, texts, capacity):
@@ -79,7 +98,7 @@ def check(got, texts, capacity):
             assert off == at
             at += n
         assert at <= capacity
-    assert len(by) <= best_fit([w[3] for w in want], capacity) + 1
+    assert len(by) <= best_fit([w[3] for w in want], capacity)
 
 
 def test_tokens_and_places(spark):

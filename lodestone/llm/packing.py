@@ -5,8 +5,9 @@ the documents of its size.  A sweep gives each document its successor, the small
 of documents that want one gap the first by rank gets it and the next ones go on to the gap above, which is how
 brackets match: each task sweeps its range, and what it leaves meets the other tasks' by
 ranks, for which only two counts a task reach the driver.  Then the gaps are updated, sequences are opened
-for what can't have room, and the next superstep begins.  It starts with a sequence for each document of more than
-half the capacity, and the last LAST documents are placed one by one in a single task.
+for what won't have room, and the next superstep begins.  It starts with a sequence for each document of more than
+half the capacity; those of more than a quarter come next, all others then; and the last LAST documents are placed
+one by one in a single task.
 """
 
 from __future__ import annotations
@@ -297,20 +298,28 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     while True:
         placed.append(state.where("row is not null and seq is not null"))
         docs = state.where("row is not null and seq is null")
-        n, tokens, least = docs.agg(F.count("*"), F.sum("length"), F.min("length")).first()
+        large = F.col("length") > capacity // 4
+        n, many = docs.agg(F.count("*"), F.count_if(large)).first()
         if not n:
             break
-        gaps = state.where("seq is not null").select(F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("length"), "seq", (F.col("size") - F.coalesce("length", F.lit(0))).alias("size")).where(F.col("size") >= least)
+        gaps = state.where("seq is not null").select(F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("length"), "seq", (F.col("size") - F.coalesce("length", F.lit(0))).alias("size")).where("size > 0")
         if n <= LAST:
             placed.append(kept(one_by_one(docs, gaps, fresh, capacity)))
             break
-        n_gaps, room = gaps.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-        new = max(-(-(tokens - room) // capacity), 0 if n_gaps else 1)
+        now = docs.where(large) if many else docs
+        count, tokens, least = now.agg(F.count("*"), F.sum("length"), F.min("length")).first()
+        mean = tokens / count
+        fitting = F.col("size") >= least
+        n_gaps, room, held = gaps.where(fitting).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.floor(F.col("size") / mean)), F.lit(0))).first()
+        # At least what the tokens need beyond the room; for large documents also what their number needs, as they leave
+        # much of a gap unused, which the small ones take later.  A sequence that gets nothing doesn't count.
+        new = max(-(-(tokens - room) // capacity), 0 if n_gaps else 1, -(-(count - held) // int(capacity // mean)) if many else 0)
         opened = spark.range(new).select(F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("length"), (-1 - fresh - F.col("id")).alias("seq"), F.lit(capacity).alias("size"))
         fresh += new
-        both = docs.withColumn("size", F.col("length")).unionByName(gaps.unionByName(opened))
-        found = kept(swept(both, -(-(n + n_gaps + new) // SWEPT)))
-        state = kept(across(found))
+        both = now.withColumn("size", F.col("length")).unionByName(gaps.where(fitting).unionByName(opened))
+        found = kept(swept(both, -(-(count + n_gaps + new) // SWEPT)))
+        rest = gaps.where(~fitting).unionByName(docs.where(~large)) if many else gaps.where(~fitting)
+        state = kept(across(found).unionByName(rest.select("row", "length", "seq", "size")))
         discard(found)
     at = placed[0]
     for p in placed[1:]:

@@ -2,6 +2,10 @@
 
 STAGES holds (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a
 DataFrame.  All but the last return the columns of `documents`.
+
+In each stage a null id is as good as any, columns beyond those of `documents` stay, whatever their names, texts of
+any length are taken whole, and an empty table gives an empty one.  Repeated rows are each kept or each removed, but for the
+near duplicates, of which one stays.  A null or an empty text is rejected by the first stage; the others keep it.
 """
 
 from __future__ import annotations

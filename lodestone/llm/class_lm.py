@@ -370,7 +370,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
 
     A null text counts as empty: only its end is scored.  Words beyond the listed
     ones meet their counts in a join; only (code, document, times) crosses the network.
-    Rows that agree in id and text get the same scores; other columns stay as they are.
+    Rows that agree in id and text get the same scores; columns of these four names are replaced, all others
+    stay as they are, whatever their names.  A text or a word of any length is scored as a whole; an empty table gives none.
     """
     spark = bounded(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)

@@ -81,7 +81,8 @@ def packed(rows: np.ndarray, full: np.ndarray) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", bins: int = BINS, bits: int = BITS, k: int = SHINGLE) -> DataFrame:
-    """docs' rows with a column `fingerprint`; null counts as empty and has the empty fingerprint."""
+    """docs' rows with a column `fingerprint`, which replaces one of that name; null counts as empty and has the empty
+    fingerprint, as has any text without words.  Equal texts have equal fingerprints."""
     bounded(docs.sparkSession)
     docs = docs.drop("fingerprint")
 
@@ -130,8 +131,9 @@ EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def edited_pairs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Each text's fingerprint against that of its edited text and of the next document.
 
-    The order is by doc_id, a null one first, equal ones by text; after the last document comes
-    the first; a single document is its own next one.  Null counts as empty.
+    The order is by doc_id, a null one first, equal ones by their texts' compressed bytes; after the last document
+    comes the first; a single document is its own next one.  Null counts as empty.  Other columns are not read;
+    rows of one id lie in one range, which a task goes through without holding it.
     """
     spark = bounded(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -440,8 +440,9 @@ def docs_repeat(members: DataFrame) -> bool:
 def linked(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN, groups: int = GROUPS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc, th, n, root): for each row its set's size and the first document that it reaches by links.
 
-    A document without words has an empty set and is linked with nothing.  Rows that
-    agree in id and text are one document, given as often as they occur; null ids sort first.
+    A document without words, or null, has an empty set and is linked with nothing.  Rows that
+    agree in id and text are one document, given as often as they occur; rows that only share an id are
+    documents of their own; null ids sort first.  Texts of any length are taken whole; other columns aren't read.
     """
     bounded(docs.sparkSession)
     source, _ = identified(docs, doc_id, text)
@@ -452,8 +453,8 @@ def linked(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN, gr
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs with one document, the first, of each group that links connect; all columns stay.  Of rows
-    that agree in id and text one stays, too."""
+    """docs with one document, the first, of each group that links connect; all columns stay, whatever their names.
+    Of rows that agree in id and text one stays, too; texts without words stay, as they are linked with nothing."""
     named = docs.withColumn("__all", F.struct(*docs.columns))
     source, unique = identified(named, doc_id, text, ("__all",))
     firsts = linked(docs, text=text, doc_id=doc_id, **options).where(vertex() == F.col("root")).select("doc", "th").distinct()

@@ -1,7 +1,8 @@
 """Language identification by rank-order profiles and out-of-place distance.
 
-A text is a sequence of letter symbols (a to z in either case, other letters by
-their UTF-8 bytes) in which each run of anything else is one boundary.  Its
+A text is a sequence of letter symbols (a to z in either case, other characters by
+their UTF-8 bytes, folded, so that such a letter is two or three symbols) in which each run of
+anything else, the punctuation and spaces beyond ASCII among it, is one boundary.  Its
 profile is the list of its most frequent 1- to 3-grams, most frequent first; its
 distance to a language's profile is how far each gram is out of its place there.
 """
@@ -33,6 +34,17 @@ def symbol_table() -> np.ndarray:
     return t
 
 
+def symbols_of(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The symbols of UTF-8 bytes.  U+0080 to U+00BF, U+2000 to U+207F and U+3000 to U+303F (controls, spaces and
+    punctuation, hardly any letter) are boundaries."""
+    out = table[raw]
+    after = np.append(raw[1:], 0)
+    for at, width in ((np.flatnonzero(raw == 0xC2), 2), (np.flatnonzero((raw == 0xE2) & ((after == 0x80) | (after == 0x81))), 3), (np.flatnonzero((raw == 0xE3) & (after == 0x80)), 3)):
+        for k in range(width):
+            out[np.minimum(at + k, len(out) - 1)] = 0
+    return out
+
+
 def grams(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct 1- to 3-grams of one text's symbols, and their counts."""
     c = np.concatenate([[0], symbols, [0]]).astype(np.int32)
@@ -71,7 +83,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             for part in parts(batch, "text"):
                 raw, off = in_bytes(part.column("text"))
-                symbols = table[raw]
+                symbols = symbols_of(raw, table)
                 for k, lang in enumerate(part.column("lang").to_pylist()):
                     if lang not in sums:
                         if len(sums) >= 32:
@@ -106,7 +118,8 @@ def has_letter(text: str) -> bool:
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", profile: int = PROFILE) -> DataFrame:
     """docs with lang_pred and score: 1 less the distance to the nearest profile as a share of the
     largest possible one.  A text that is null or has no letter, and any text if there
-    are no profiles, is `und` with score 0; equal distances go to the first label in order."""
+    are no profiles, is `und` with score 0; equal distances go to the first label in order.  Columns named
+    lang_pred or score are replaced, all others stay; repeated rows are judged alike, and texts of any length as a whole."""
     bounded(docs.sparkSession)
     if {"lang_pred", "score"} & set(docs.columns):
         docs = docs.drop("lang_pred", "score")
@@ -122,16 +135,20 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text"
             for part in parts(batch, text):
                 column = part.column(text)
                 raw, off = in_bytes(column)
-                symbols = table[raw]
+                symbols = symbols_of(raw, table)
                 preds, scores = [], []
                 for k in range(part.num_rows):
                     own = symbols[off[k] : off[k + 1]]
                     sure = bool(((own > 0) & (own < 27)).any())
-                    if not langs or not (sure or (own.any() and has_letter(column[k].as_py()))):
+                    if not langs or not (sure or has_letter(column[k].as_py() or "")):
                         preds.append("und")
                         scores.append(0.0)
                         continue
                     mine = ranked(*grams(own), profile)
+                    if not len(mine):  # a letter that counts as a boundary, as \u00aa does
+                        preds.append(langs[0])
+                        scores.append(0.0)
+                        continue
                     far = places[:, mine]
                     distance = np.where(far < profile, np.abs(far - np.arange(len(mine))), profile).sum(axis=1)
                     best = int(distance.argmin())

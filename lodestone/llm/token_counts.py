@@ -69,8 +69,33 @@ def automaton(pieces: list[bytes]) -> dict[str, np.ndarray]:
     return {"keys": np.ascontiguousarray(keys), "to": to.astype(np.int32), "root": root, "fail": np.array(fail, np.int32), "pops": np.array(pops, np.int64), "rest": np.array(rest, np.int64)}
 
 
+#: Words beyond so many bytes are counted one by one.
+LONG = 512
+
+
+def count_long(a: dict, edges: dict[int, int], word: bytes, lead: int | None) -> int:
+    """The number of pieces of one word."""
+    state = 0 if lead is None else int(a["root"][lead])
+    pops, fail, count = a["pops"], a["fail"], 0
+    for b in word:
+        to = edges.get(state << 8 | b)
+        while to is None:
+            count += int(pops[state])
+            state = int(fail[state])
+            to = edges.get(state << 8 | b)
+        state = to
+    return count + int(a["rest"][state])
+
+
 def count_pieces(a: dict[str, np.ndarray], raw: np.ndarray, start: np.ndarray, end: np.ndarray, lead: int | None) -> np.ndarray:
     """The number of pieces of each word; `lead` is a byte put before each word."""
+    long = np.flatnonzero(end - start > LONG)
+    if len(long):
+        if "edges" not in a:
+            a["edges"] = dict(zip(a["keys"].tolist(), a["to"].tolist(), strict=True))
+        out = count_pieces(a, raw, start, np.where(end - start > LONG, start, end), lead)
+        out[long] = [count_long(a, a["edges"], raw[start[i] : end[i]].tobytes(), lead) for i in long.tolist()]
+        return out
     state = np.zeros(len(start), dtype=np.int64)
     count = np.zeros(len(start), dtype=np.int64)
     if lead is not None:
@@ -101,10 +126,11 @@ def count_pieces(a: dict[str, np.ndarray], raw: np.ndarray, start: np.ndarray, e
 
 
 def count_tokens(docs: DataFrame, vocabulary_path: str, text: str = "text", lead: bytes = b" ") -> DataFrame:
-    """docs' rows with n_words and n_tokens added.
+    """docs' rows with n_words and n_tokens added; columns of these names are replaced, all others stay.
 
     Words are runs without white space; each is preceded by `lead`, the mark of
-    a word's beginning in the vocabulary.  Null and empty texts have none.
+    a word's beginning in the vocabulary.  Null and empty texts have none.  Every row is counted, repeated ones as
+    often as they occur; a text or a word of any length is counted as a whole; an empty table gives none.
     """
     bounded(docs.sparkSession)
     docs = docs.drop("n_words", "n_tokens")

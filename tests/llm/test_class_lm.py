@@ -8,7 +8,7 @@ import pytest
 
 from lodestone.llm import class_lm as M
 
-from .common import corpus, rows, table
+from .common import corpus, rows, table, thue_morse
 
 
 def split(text):
@@ -125,6 +125,12 @@ def test_exchange_ends_when_no_unit_moves():
     assert (of == M.exchange(pairs, 8, rounds=1000)).all()
 
 
+def test_words_that_sums_of_powers_confuse(spark):
+    x, y = thue_morse(10)
+    model, counts = M.fit(table(spark, [x, "go " * 100_000]))
+    assert rows(M.score(table(spark, [x, y, "z" * 1_000_000]), model, counts), "doc_id", "n_tokens", "n_known") == [(0, 2, 2), (1, 2, 1), (2, 2, 1)]
+
+
 def test_beats_base_held_out_and_handles_empty(spark):
     got = M.op4_lm_scores(spark, "/root/testdata/sf0.001").where("held_out").groupBy().sum("score", "base_score").first()
     assert got[0] > got[1]

@@ -52,6 +52,19 @@ def test_no_labels_and_empty(spark):
     assert L.predict(docs.limit(0), {}).count() == 0
 
 
+def test_punctuation_beyond_ascii_is_a_boundary(spark):
+    texts = ["the\u2014house \u00abthe\u00bb \u2026 the\u3000cat", "the house  the   the cat", "\u00aa", "\u2014\u2026", "日本語", "the " * 500_000]
+    docs = table(spark, texts, ["en", "en", None, None, None, None])
+    got = rows(L.predict(docs, L.fit(docs)), "doc_id", "lang_pred", "score")
+    assert [g[1] for g in got] == ["en", "en", "en", "und", "en", "en"] and got[0][2] == got[1][2] and got[2][2] == 0
+
+
+def test_repeated_rows_and_null_ids(spark):
+    docs = table(spark, ["the house", None], ["en", "en"])
+    twice = docs.union(docs).union(docs.selectExpr("cast(null as long)", "text", "lang", "source", "n_chars", "row_id"))
+    assert collections.Counter(r.lang_pred for r in L.predict(twice, L.fit(twice)).collect()) == {"en": 3, "und": 3}
+
+
 def test_extra_columns_stay(spark):
     docs = table(spark, ["the house"], ["en"]).selectExpr("*", "1 as gram", "2 as score")
     assert set(docs.columns) <= set(L.predict(docs, L.fit(docs)).columns)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import packing as P
 
-from .common import corpus, table
+from .common import corpus, table, thue_morse
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
 
@@ -130,6 +130,12 @@ def test_query(spark):
     check(P.op5_packing(spark, "/root/testdata/sf0.001").collect(), texts, 2048)
 
 
+def test_long_and_confusing_texts(spark):
+    x, y = thue_morse(10)
+    texts = [x, y, f"{x} {y}", "word " * 60_000, *[""] * 300]
+    check(P.pack(table(spark, texts).selectExpr("*", "1 as row", "2 as seq", "3 as length"), PATH, 2048).collect(), texts, 2048)
+
+
 def test_repeated_and_empty(spark):
     docs = table(spark, ["a b c", None])
     twice = docs.union(docs).union(docs.selectExpr("cast(null as long)", "text", "lang", "source", "n_chars", "row_id"))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 
 from . import test_decontaminate, test_jaccard, test_packing, test_secrets
@@ -51,3 +53,23 @@ def test_language_stage_without_labels(spark):
     real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(0, "some words", None, "x", 10), (1, "12 34", None, "x", 5), (2, None, None, "x", 0), (3, "né", None, "x", 2)]
     assert sorted(r.doc_id for r in C.identify_language(spark, spark.createDataFrame(rows, real.schema), "").collect()) == [0, 3]
+
+
+def test_stages_on_odd_tables(spark):
+    """Empty tables, repeated rows, null ids and other nulls, a long text, and a column whose name the operators use."""
+    sf_dir = "/root/testdata/sf0.001"
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+    odd = [(None, None, None, None, None), (None, "some words of english text here", None, None, None), (900_001, "", "en", "x", 0), (900_002, "the word " * 200_000, "en", "x", 1_800_000)]
+    docs = real.unionByName(real).unionByName(spark.createDataFrame(odd, real.schema)).withColumn("label", F.lit(1))
+    for name, stage in C.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        n = out.count()
+        assert 0 < n <= docs.count() and (name != "jaccard_join" or out.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()), name
+        assert name == "language_id" or out.where("doc_id is null").count() == 2, name
+        assert name == "language_id" or out.where("doc_id = 900002").count() == 1, name
+    name, stage = C.STAGES[-1]
+    assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    packed = stage(spark, docs, sf_dir)
+    assert packed.where("piece = 0").count() == docs.count()

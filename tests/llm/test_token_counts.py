@@ -3,7 +3,7 @@ import random
 
 from lodestone.llm import token_counts as T
 
-from .common import corpus, rows, table
+from .common import corpus, rows, table, thue_morse
 
 
 def greedy(word, pieces):
@@ -34,6 +34,18 @@ def test_random_vocabularies():
             assert got.tolist() == [greedy((b"" if lead is None else b" ") + w, pieces) for w in words]
 
 
+def test_long_words_and_confusing_ones(spark, tmp_path):
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps({"added_tokens": [], "model": {"vocab": {p: i for i, p in enumerate(["ab", "ba", "abba", "aab", "Ġa"])}}}))
+    known = set(T.vocabulary(str(path)))
+    x, y = thue_morse(11)
+    texts = [x, y, f"{x} {y} {x}", "ab" * 500_000, "b " * 300_000]
+    got = rows(T.count_tokens(table(spark, texts), str(path)), "doc_id", "n_words", "n_tokens")
+    assert got == [(i, len(split(t)), sum(greedy(b" " + w.encode(), known) for w in split(t))) for i, t in enumerate(texts)]
+    twice = table(spark, ["ab", None]).selectExpr("doc_id", "text", "9 as n_words", "8 as state")
+    assert rows(T.count_tokens(twice.union(twice), str(path)), "doc_id", "n_words", "state") == [(0, 1, 8), (0, 1, 8), (1, 0, 8), (1, 0, 8)]
+
+
 def test_documents(spark, tmp_path):
     pieces = ["Ġw1", "w", "Ġ", "1", "w12", "Ġw", "12", "é", "Ã", "Ġx"]
     path = tmp_path / "v.json"

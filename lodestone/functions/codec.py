@@ -16,6 +16,8 @@ from lodestone import schema as S
 
 #: Output of one decompression step; what an error loses is less than that.
 STEP = 4096
+#: Bytes that chunks claim to have and that are decoded together, at most (one chunk at least).
+TOGETHER = 64 << 20
 
 
 @dataclass
@@ -153,8 +155,18 @@ def encoded(df: DataFrame, data: str = "data", method: str = "method") -> DataFr
 def decoded(df: DataFrame, data: str = "data", flags: str = "flags", compressed: str = "compressed_length", length: str = "decompressed_length") -> DataFrame:
     """df with `data` decoded, null where that failed, and raw_fallback, error_kind and error_msg added."""
 
+    def bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        since, held = 0, 0
+        for k, n in enumerate(batch.column(length).to_pylist()):
+            if k > since and held + (n or 0) > TOGETHER:
+                yield batch.slice(since, k - since)
+                since, held = k, 0
+            held += n or 0
+        if since < batch.num_rows:
+            yield batch.slice(since)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in bounded(batch)):
             rows = zip(*(b.column(c).to_pylist() for c in (flags, compressed, length, data)), strict=True)
             got = [decode(f, c, n, d or b"") for f, c, n, d in rows]
             new = [pa.array([g.data for g in got], pa.binary()) if n == data else c for n, c in zip(b.schema.names, b.columns, strict=True)]

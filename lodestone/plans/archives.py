@@ -48,7 +48,7 @@ def options_of(settings: dict | None) -> dict | None:
     return None if settings is None else dict(S.OPTION_DEFAULTS) | {k: v for k, v in settings.items() if k in S.OPTION_DEFAULTS}
 
 
-def open_archives(spark: SparkSession, path: str, **options: str) -> Tables:
+def open_archives(spark: SparkSession, path: str | list[str], **options: str) -> Tables:
     t = {name: table(spark, path, name, **options) for name in ("files", "dirs", "volumes", "chunks")}
     return Tables(t["files"], t["dirs"], t["volumes"], layout.corrected_sizes(t["chunks"], t["volumes"]))
 
@@ -60,14 +60,14 @@ def decoded(t: Tables, keep_data: bool = True, resolver: str = "") -> DataFrame:
     return got.join(claims, ["archive", "chunk_id"]).withColumn("ok", F.col("error_kind").isNull()).withColumn("length_match", F.coalesce(F.col("data_length") == F.col("decompressed_length"), F.lit(False)))
 
 
-def verify(spark: SparkSession, path: str, resolver: str = "", **options: str) -> DataFrame:
+def verify(spark: SparkSession, path: str | list[str], resolver: str = "", **options: str) -> DataFrame:
     """The report on all files of the archives at path.  OK means that all chunks could be decoded; length_match, that
     they have the lengths they claim, too."""
     t = open_archives(spark, path, **options)
     return listing.report(t.files, t.chunks, t.dirs, decoded(t, keep_data=False, resolver=resolver))
 
 
-def contents(spark: SparkSession, path: str, **options: str) -> DataFrame:
+def contents(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
     """(archive, file_idx, path, pos, data, error_kind, error_msg): the decoded parts of all files; path as an
     extraction would name them, null if refused."""
     t = open_archives(spark, path, **options)

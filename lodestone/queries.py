@@ -430,12 +430,12 @@ def unpack_files(spark: SparkSession, sf_dir: str, most: int = 0xFFFF) -> DataFr
     return found.select(F.substring_index(inside, "/", 1).cast("long").alias("archive"), F.regexp_replace(inside, "^[0-9]+/", "").alias("path"), F.col("length").alias("size"), F.md5("content").alias("md5"))
 
 
-def repacked(spark: SparkSession, folders: dict[int, str], config: str) -> str:
-    """Packs what each folder's configuration lists, and returns the folder with the new archives."""
+def repacked(spark: SparkSession, folders: dict[int, str], config: str) -> list[str]:
+    """Packs what each folder's configuration lists, and returns the new archives."""
     out = f"{folders[min(folders)].rpartition('/')[0]}/again-{uuid.uuid4().hex}"
     for k, folder in folders.items():
         archives.pack(spark, f"{folder}/{config.format(k)}", f"{out}/{k}")
-    return ",".join(f"{out}/{k}/{k}.dz" for k in folders)
+    return [f"{out}/{k}/{k}.dz" for k in folders]
 
 
 @query(f"""SELECT doc_id AS file_idx, 'OK' AS status, octet_length(encode(text)) AS size, ['Copy', 'Zlib', 'Bzip', 'LZMA', 'Zero'][doc_id % 5 + 1] AS method,

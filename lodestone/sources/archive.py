@@ -1,13 +1,14 @@
 """Archives as tables: spark.read.format("archive").option("table", ...).load(path).
 
-path is an archive, a directory of archives, or several of these separated by commas.  A partition reads
-the headers of some archives; payloads are never part of these tables.  Options: table (archives, strings, files,
+path is an archive, a directory of archives, or several of these separated by commas; the option paths, a list in
+JSON, takes its place where a name may hold a comma.  A partition reads the headers of some archives; payloads are never part of these tables.  Options: table (archives, strings, files,
 dirs, volumes, chunks), suffix (of the archives in a directory, `.dz`), mode (`failfast`, or `permissive`: an
 archive that can't be read is a row of `archives` with its error), resolver, perPartition.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,10 +60,10 @@ class ArchiveReader(DataSourceReader):
         self.resolver = options.get("resolver", "")
         self.suffix = options.get("suffix", ".dz")
         self.per = int(options.get("perpartition", options.get("perPartition", "16")))
-        self.path = options["path"]
+        self.paths = json.loads(options["paths"]) if "paths" in options else [x.strip() for x in options["path"].split(",")]
 
     def partitions(self) -> list[InputPartition]:
-        found = [p for x in self.path.split(",") for p, _ in files.listed(x.strip(), self.suffix)]
+        found = [p for x in self.paths for p, _ in files.listed(x, self.suffix)]
         return [Archives(found[k : k + self.per]) for k in range(0, len(found), self.per)]
 
     def read(self, partition: Archives) -> Iterator[tuple]:
@@ -94,7 +95,8 @@ class ArchiveSource(DataSource):
         return ArchiveReader(dict(self.options))
 
 
-def table(spark: SparkSession, path: str, name: str, **options: str) -> DataFrame:
-    """One of the tables of the archives at path."""
+def table(spark: SparkSession, path: str | list[str], name: str, **options: str) -> DataFrame:
+    """One of the tables of the archives at path, or at all of the paths."""
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("archive").options(table=name, **options).load(path)
+    reader = spark.read.format("archive").options(table=name, **options)
+    return reader.load(path) if isinstance(path, str) else reader.option("paths", json.dumps(path)).load()

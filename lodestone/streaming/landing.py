@@ -19,7 +19,7 @@ def verify_landing(spark: SparkSession, landing: str, reports: str, checkpoint:
     def check(batch: DataFrame, number: int) -> None:
         found = [r.path for r in batch.collect()]
         if found:
-            path = ",".join(p if "://" in p else p.removeprefix("file:") for p in found)
-            verify(batch.sparkSession, path).write.mode("overwrite").parquet(f"{reports}/batch={number}")
+            paths = [p if "://" in p else p.removeprefix("file:") for p in found]
+            verify(batch.sparkSession, paths).write.mode("overwrite").parquet(f"{reports}/batch={number}")
 
     return paths.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -203,12 +203,36 @@ def test_landing_stream(spark, golden, tmp_path):
     from lodestone.streaming.landing import verify_landing
 
     os.makedirs(tmp_path / "in")
+    (tmp_path / "in/a,b.dz").write_bytes(GOLDEN)
     for name in ("g.dz", "g1.dz"):
         os.rename(tmp_path / name, tmp_path / "in" / name)
     os.rename(tmp_path / "in/g1.dz", tmp_path / "in/g1.vol")
     q = verify_landing(spark, str(tmp_path / "in"), str(tmp_path / "reports"), str(tmp_path / "state"))
     q.awaitTermination()
-    assert sorted(r.status for r in spark.read.parquet(str(tmp_path / "reports")).collect()) == ["FAIL", "OK", "OK"]
+    assert sorted(r.status for r in spark.read.parquet(str(tmp_path / "reports")).collect()) == ["FAIL", "FAIL", "OK", "OK", "OK", "OK"]
+
+
+def opened_elsewhere(path):
+    """A resolver."""
+    return open(path, "rb")
+
+
+def test_resolver_and_public_api(spark, golden):
+    import lodestone
+
+    for name in lodestone.__all__:
+        assert getattr(lodestone, name)
+    with open(golden, "rb") as f:
+        assert lodestone.parse(f).num_user_files == 3
+    got = lodestone.verify(spark, golden, resolver="tests.test_archives:opened_elsewhere")
+    assert {r.status for r in got.collect()} == {"OK"}
+    lodestone.set_verbosity(spark, False)
+    spark.sparkContext.setLogLevel("ERROR")
+
+
+def test_line_ends_and_white_space():
+    c = config.parse_lines("archive a.dz\narchive b\x0bdz\r\narchive c\u2028.dz\narchive d\x1c.dz\n\u00a0archive\u00a0e.dz")
+    assert c["archives"] == ["a.dz", "b", "c", "d\x1c.dz", "e.dz"]
 
 
 def test_plan_of_listing(spark):

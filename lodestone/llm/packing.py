@@ -269,8 +269,10 @@ def across(found: DataFrame) -> DataFrame:
 
     docs = found.where("part is not null and row is not null").mapInArrow(aim, "row long, length int, part int, nth int")
     gaps = found.where("part is not null and row is null").select("part", "nth", "seq", "size")
-    met = docs.join(gaps, ["part", "nth"], "full").select("row", "length", "seq", "size")
-    return found.where("part is null").drop("part", "nth").unionByName(met)
+    # Documents that get no gap have no key, which would bring them all into one task.
+    met = docs.where("part is not null").join(gaps, ["part", "nth"], "right").select("row", "length", "seq", "size")
+    lost = docs.where("part is null").select("row", "length", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("int").alias("size"))
+    return found.where("part is null").drop("part", "nth").unionByName(met).unionByName(lost)
 
 
 def one_by_one(docs: DataFrame, gaps: DataFrame, fresh: int, capacity: int) -> DataFrame:

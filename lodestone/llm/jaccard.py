@@ -121,7 +121,7 @@ def count_shingles(docs: DataFrame, k: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, "text", 4_000_000):
+            for part in parts(batch, "text"):
                 hashes, _ = sets(part, k)
                 key, n = np.unique(hashes[hashes < U64(COUNTED_BELOW)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(n, pa.int32())], names=["key", "n"])
@@ -230,7 +230,7 @@ def group_links(hashes: np.ndarray, off: np.ndarray, label: np.ndarray, query: n
     return out
 
 
-def tables(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], most: int = 4_000_000) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+def tables(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], most: int = 2_000_000) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
     """Batches put together to about so many bytes and cut where keys change, and the ranges of rows of equal keys."""
     held: list[pa.RecordBatch] = []
 

@@ -139,18 +139,32 @@ def count_pairs(docs: DataFrame, top: np.ndarray, unit: np.ndarray, groups: int)
     return out.reshape(k, k)
 
 
-def count_neighbours(docs: DataFrame, listed: np.ndarray, unit: np.ndarray, n: int, of: np.ndarray, groups: int, classes: int) -> DataFrame:
+def unit_sequences(docs: DataFrame, listed: np.ndarray, unit: np.ndarray, n: int, groups: int) -> DataFrame:
+    """(units): the units of some texts after one another; each text ends with an end.  Read in every round, so that texts aren't."""
+    sent = docs.sparkSession.sparkContext.broadcast((listed, unit))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, "text", 1_000_000):
+                codes, grp, _ = tokens(part, groups)
+                u = units_of(codes, grp, *sent.value, n)[0]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(u)], pa.int32()), pa.array(u, pa.int32()))], names=["units"])
+
+    return docs.select("text").mapInArrow(scan, "units array<int>")
+
+
+def count_neighbours(sequences: DataFrame, of: np.ndarray, classes: int) -> DataFrame:
     """(unit, counts): for each unit that occurs, how often it stands before each class, after each class, and after itself."""
     width, end = 2 * classes + 1, len(of)
-    sent = docs.sparkSession.sparkContext.broadcast((listed, unit, of))
+    sent = sequences.sparkSession.sparkContext.broadcast(of)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, unit, of = sent.value
+        of = sent.value
         total = np.zeros(end * width, dtype=np.int32)
         for batch in batches:
-            for part in parts(batch, "text"):
-                codes, grp, _ = tokens(part, groups)
-                u = units_of(codes, grp, listed, unit, n)[0].astype(np.int64)
+            if batch.num_rows:
+                # Every sequence ends with an end, so they can follow one another.
+                u = batch.column("units").flatten().to_numpy().astype(np.int64)
                 last = np.concatenate([[0], u[:-1]])
                 np.add.at(total, last * width + of[u], 1)
                 np.add.at(total, u * width + classes + of[last], 1)
@@ -162,10 +176,21 @@ def count_neighbours(docs: DataFrame, listed: np.ndarray, unit: np.ndarray, n: i
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple] = []
+
+        def merge() -> None:
+            nonlocal keys, sums
+            key, n = (np.concatenate(x) for x in zip((keys, sums), *held, strict=True))
+            keys, which = np.unique(key, return_inverse=True)
+            sums = np.bincount(which, weights=n, minlength=len(keys)).astype(np.int64)
+            held.clear()
+
         for batch in batches:
-            key = batch.column("unit").to_numpy().astype(np.int64) * width + batch.column("slot").to_numpy()
-            keys, which = np.unique(np.concatenate([keys, key]), return_inverse=True)
-            sums = np.bincount(which, weights=np.concatenate([sums, batch.column("n").to_numpy()]), minlength=len(keys)).astype(np.int64)
+            held.append((batch.column("unit").to_numpy().astype(np.int64) * width + batch.column("slot").to_numpy(), batch.column("n").to_numpy()))
+            # Now and then, lest what is known be sorted for each batch.
+            if sum(len(k) for k, _ in held) > max(500_000, len(keys)):
+                merge()
+        merge()
         units, row = np.unique(keys // width, return_inverse=True)
         for at in range(0, len(units), 10_000):
             mine = (row >= at) & (row < at + 10_000)
@@ -173,8 +198,8 @@ def count_neighbours(docs: DataFrame, listed: np.ndarray, unit: np.ndarray, n: i
             counts[row[mine] - at, keys[mine] % width] = sums[mine]
             yield pa.RecordBatch.from_arrays([pa.array(units[at : at + 10_000].astype(np.int32)), pa.array([c.tobytes() for c in counts], pa.binary())], names=["unit", "counts"])
 
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select("text").mapInArrow(scan, "unit int, slot short, n int").repartition(tasks, "unit").mapInArrow(meet, "unit int, counts binary")
+    tasks = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sequences.mapInArrow(scan, "unit int, slot short, n int").repartition(tasks, "unit").mapInArrow(meet, "unit int, counts binary")
 
 
 def class_table(counts: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
@@ -216,8 +241,9 @@ def exchanged(counts: DataFrame, of: np.ndarray, table: np.ndarray, least: float
 def refined(docs: DataFrame, listed: np.ndarray, unit: np.ndarray, n: int, of: np.ndarray, groups: int, classes: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """The units' classes after rounds of exchange over all text, and how often each class follows each."""
     best = None
+    sequences = kept(unit_sequences(docs, listed, unit, n, groups))
     while True:
-        counts = kept(count_neighbours(docs, listed, unit, n, of, groups, classes))
+        counts = kept(count_neighbours(sequences, of, classes))
         table = class_table(counts, of, classes)
         now = likelihood(table)
         gain = np.inf if best is None else now - best[0]
@@ -226,6 +252,7 @@ def refined(docs: DataFrame, listed: np.ndarray, unit: np.ndarray, n: int, of: n
         moved = of if gain <= tolerance * table.sum() else exchanged(counts, of, table, rounding(table))
         discard(counts)
         if (moved == of).all():
+            discard(sequences)
             return best[1:]
         of = moved
 
@@ -256,7 +283,8 @@ def best_class(table: np.ndarray, was: int, after: np.ndarray, before: np.ndarra
     base[was, :] -= out
     base[:, was] -= into
     base[was, was] -= own
-    rows, columns = base.sum(axis=1), base.sum(axis=0)
+    # What the unit's neighbours add to the sums stays wherever it goes.
+    rows, columns = base.sum(axis=1) + into, base.sum(axis=0) + out
     gain = xlogx(base + out[None, :]).sum(axis=1) - xlogx(base).sum(axis=1)
     gain += xlogx(base + into[:, None]).sum(axis=0) - xlogx(base).sum(axis=0)
     d = np.diag(base)

@@ -117,9 +117,29 @@ def test_exchange_finds_alternation():
     assert len({of[0], of[2], of[4], of[6]}) == len({of[1], of[3], of[5], of[7]}) == 1 and of[0] != of[1]
 
 
+def test_best_class_is_the_one_of_the_highest_likelihood():
+    r = np.random.default_rng(4)
+    for _ in range(40):
+        pairs = r.poisson(0.7, (12, 12)).astype(float)
+        pairs[3, 3] = 50
+        of = r.integers(0, 4, 12)
+        table = lambda c: np.array([[pairs[np.ix_(c == a, c == b)].sum() for b in range(4)] for a in range(4)])  # noqa: B023,E731
+        w = int(r.integers(12))
+        member = np.eye(4)[of]
+        to, after = M.best_class(table(of), of[w], (pairs @ member)[w], (pairs.T @ member)[w], pairs[w, w], 1e-9)
+        each = [M.likelihood(table(np.where(np.arange(12) == w, c, of))) for c in range(4)]
+        assert each[to] == pytest.approx(max(each)) and np.allclose(after, table(np.where(np.arange(12) == w, to, of)))
+
+
+def test_exchange_ends_with_one_frequent_pair():
+    pairs = np.zeros((259, 259))
+    pairs[1, 1], pairs[0, 1], pairs[1, 0], pairs[0, 2], pairs[2, 0] = 99999, 1, 1, 1, 1
+    assert len(M.exchange(pairs, 48)) == 259
+
+
 def test_exchange_ends_when_no_unit_moves():
     """This one is still moving units after eight rounds."""
-    pairs = np.random.default_rng(0).poisson(0.5, (120, 120)).astype(float)
+    pairs = np.random.default_rng(1).poisson(0.5, (120, 120)).astype(float)
     of = M.exchange(pairs, 8)
     assert (of != M.exchange(pairs, 8, rounds=8)).any()
     assert (of == M.exchange(pairs, 8, rounds=1000)).all()

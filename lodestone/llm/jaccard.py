@@ -43,8 +43,8 @@ COUNTED_BELOW = int(COUNTED * 2**63)
 FREQUENT, FREQUENT_SHARE, SENT = 200, 5000, 1_000_000
 #: Shingles (and so many more for each row) that a task holds of a gathering; larger ones are dealt to several tasks.
 HELD, ROW = 1_000_000, 64
-#: Groups of points that a task holds of a gathering; of larger ones all documents stay.
-POINTS_HELD = 32_000_000
+#: Groups of points that a task holds of a gathering; larger ones are dealt to several tasks.
+POINTS_HELD = 4_000_000
 
 
 def sets(part: pa.RecordBatch, k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +156,7 @@ class CountTree:
     """An R-tree over count vectors, packed by size and then by the leading coordinates."""
 
     def __init__(self, vectors: np.ndarray, n: np.ndarray, fan: int = 16):
-        lead = vectors[:, np.argsort(-vectors.astype(float).var(axis=0))[:2]]
+        lead = vectors[:, np.argsort(-vectors[:: 1 + len(n) // 4096].astype(float).var(axis=0))[:2]]
         band = np.empty(len(n), dtype=np.int64)
         band[np.argsort(n, kind="stable")] = np.arange(len(n)) // max(fan * 4, 1)
         self.order = np.lexsort((lead[:, 1], lead[:, 0], band))
@@ -276,9 +276,10 @@ class Points:
             at = np.flatnonzero(self.wide == w)
             self.place[at] = np.arange(len(at))
             self.of[w] = np.stack([each[i] for i in at.tolist()])
-        self.coarse = np.empty((len(n), groups), dtype=np.int32)
-        for w, x in self.of.items():
-            self.coarse[self.wide == w] = folded(x, groups)
+        coarse = {w: folded(x, groups) for w, x in self.of.items()}
+        self.coarse = np.empty((len(n), groups), dtype=np.uint16 if all(x.max(initial=0) < 1 << 16 for x in coarse.values()) else np.int32)
+        for w, x in coarse.items():
+            self.coarse[self.wide == w] = x
 
     def reach(self, q: int, rows: np.ndarray, num: int, den: int) -> np.ndarray:
         """Which of the rows' bounds with row q reach the overlap asked for?"""
@@ -294,17 +295,22 @@ class Points:
 
 
 def within_bound(rows: DataFrame, num: int, den: int, groups: int) -> DataFrame:
-    """(cdoc, cth, doc, th, size): the documents of each gathering whose bound with any other one there reaches the overlap asked for.
+    """(cdoc, cth, chunk, doc, th, size, stay): whose bound with any other document of its gathering's chunk reaches the overlap asked for?
 
-    rows: (cdoc, cth, first, doc, th, size, point).
+    rows: (cdoc, cth, chunk, first, doc, th, size, point) and, where only some are asked for, query; only
+    those are returned then.
     """
+    asked = "query" in rows.columns
 
-    def staying(p: Points) -> np.ndarray:
+    def staying(p: Points, query: np.ndarray | None) -> np.ndarray:
         stay = np.zeros(len(p.n), dtype=bool)
-        stay[1:] = p.reach(0, np.arange(1, len(p.n)), num, den)
-        stay[0] = stay.any()
-        rest = np.flatnonzero(~stay)
-        if len(p.n) > 2 and len(rest):
+        if query is None:
+            stay[1:] = p.reach(0, np.arange(1, len(p.n)), num, den)
+            stay[0] = stay.any()
+            rest = np.flatnonzero(~stay)
+        else:
+            rest = np.flatnonzero(query)
+        if len(p.n) > (2 if query is None else 1) and len(rest):
             tree = CountTree(p.coarse, p.n)
             for q in rest.tolist():
                 hits = tree.search(p.coarse[q], int(p.n[q]), num, den)
@@ -312,15 +318,17 @@ def within_bound(rows: DataFrame, num: int, den: int, groups: int) -> DataFrame:
         return stay
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, gathered in tables(batches, ("cdoc", "cth"), 1_000_000):
+        for table, gathered in tables(batches, ("cdoc", "cth", "chunk"), 1_000_000):
             size, point = table.column("size").to_numpy().astype(np.int64), table.column("point").to_pylist()
+            query = table.column("query").to_numpy().astype(bool) if asked else None
             stay = np.zeros(len(size), dtype=bool)
             for s, e in gathered:
                 if e - s > 1:
-                    stay[s:e] = staying(Points(point[s:e], size[s:e], groups))
-            yield from table.select(["cdoc", "cth", "doc", "th", "size"]).filter(pa.array(stay)).combine_chunks().to_batches()
+                    stay[s:e] = staying(Points(point[s:e], size[s:e], groups), query[s:e] if asked else None)
+            out = table.select(["cdoc", "cth", "chunk", "doc", "th", "size"]).append_column("stay", pa.array(stay))
+            yield from (out.filter(pa.array(query)) if asked else out).combine_chunks().to_batches()
 
-    return dealt(rows, "cdoc", "cth").mapInArrow(scan, "cdoc long, cth long, doc long, th long, size int")
+    return dealt(rows, "cdoc", "cth", "chunk").mapInArrow(scan, "cdoc long, cth long, chunk int, doc long, th long, size int, stay boolean")
 
 
 LINK = "udoc long, uth long, vdoc long, vth long"
@@ -367,20 +375,54 @@ def vertex(doc: str = "doc", th: str = "th") -> Column:
 
 def gatherings(buckets: DataFrame) -> DataFrame:
     """(cdoc, cth, doc, th, size): whoever shares a bucket with the least document of it, the centre, once."""
-    centres = kept(buckets.groupBy("key").agg(F.min(vertex()).alias("c"), F.max(vertex()).alias("last")).where("c < last").select("key", F.col("c.doc").alias("cdoc"), F.col("c.th").alias("cth")))
-    members = kept(buckets.join(centres, "key").groupBy("cdoc", "cth", "doc", "th").agg(F.max("size").alias("size")))
+    centres = kept(buckets.groupBy("key").agg(F.min(vertex()).alias("c"), F.max(vertex()).alias("last")).where("c < last").select("key", F.col("c.doc").alias("cdoc"), F.col("c.th").alias("cth")), few=True)
+    members = kept(buckets.join(centres, "key").groupBy("cdoc", "cth", "doc", "th").agg(F.max("size").alias("size")), few=True)
     discard(centres)
     return members
 
 
+def own_part(parts: str, seed: int = 42) -> Column:
+    """One of so many parts of a gathering, by a hash of the document."""
+    return F.pmod(F.xxhash64("doc", "th", F.lit(seed)), F.col(parts)).cast("int")
+
+
+def cells(rows: DataFrame, load: Column, most: int) -> DataFrame:
+    """rows once for each cell in which they meet others: chunk is the cell's number, and query says who is asked for there.
+
+    rows: (cdoc, cth, chunks, doc, th, query, ...).  A gathering's rows are dealt to its chunks and its queries,
+    besides, to blocks of about `most` load; a cell is a block and a chunk.  Each query meets each row of its gathering in one
+    cell, and no cell has more than a block and a chunk, however many queries there are.
+    """
+    blocks = rows.where("query").groupBy("cdoc", "cth").agg(F.ceil(F.sum(load) / most).cast("int").alias("blocks"))
+    at = rows.join(blocks, ["cdoc", "cth"]).withColumn("own", own_part("chunks")).withColumn("block", own_part("blocks", 7))
+    as_row = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct((b * F.col("chunks") + F.col("own")).alias("chunk"), (F.col("query") & (b == F.col("block"))).alias("query")))
+    elsewhere = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.col("query") & (c != F.col("own")))
+    as_query = F.transform(elsewhere, lambda c: F.struct((F.col("block") * F.col("chunks") + c).alias("chunk"), F.lit(True).alias("query")))
+    others = [c for c in rows.columns if c not in ("chunks", "query")]
+    return at.select(*others, F.explode(F.concat(as_row, as_query)).alias("cell")).select(*others, "cell.chunk", "cell.query")
+
+
 def staying(members: DataFrame, points: DataFrame, num: int, den: int, groups: int) -> DataFrame:
     """members without those that their points tell to be alike to nobody; points: (doc, th, point)."""
-    groups_held = F.sum(F.greatest(F.lit(groups), 2 * F.col("size").cast("long")))
-    wide = kept(members.groupBy("cdoc", "cth").agg(groups_held.alias("held")).where(F.col("held") > POINTS_HELD).select("cdoc", "cth"))
-    own = members.join(wide, ["cdoc", "cth"], "left_anti").join(points, ["doc", "th"])
-    rows = own.select("cdoc", "cth", F.when(vertex() == vertex("cdoc", "cth"), 0).otherwise(1).alias("first"), "doc", "th", "size", "point")
-    out = kept(within_bound(rows, num, den, groups).unionByName(members.join(wide, ["cdoc", "cth"], "left_semi")))
-    discard(wide)
+    load = F.greatest(F.lit(groups), 2 * F.col("size").cast("long"))
+    wide = kept(members.groupBy("cdoc", "cth").agg(F.ceil(F.sum(load) / POINTS_HELD).cast("int").alias("chunks")).where("chunks > 1"), few=True)
+    centre = vertex() == vertex("cdoc", "cth")
+    own = members.join(wide, ["cdoc", "cth"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    chunked = own.withColumn("chunk", F.explode(F.when(centre, every).otherwise(F.array(own_part("chunks"))))).join(points, ["doc", "th"])
+    columns = ["cdoc", "cth", "doc", "th", "size"]
+    told = within_bound(chunked.select("cdoc", "cth", "chunk", F.when(centre, 0).otherwise(1).alias("first"), "doc", "th", "size", "point"), num, den, groups)
+    if wide.isEmpty():
+        out = kept(told.where("stay").select(columns), few=True)
+        discard(wide)
+        return out
+    # Gatherings that several tasks share: who is alike to nobody in its chunk is asked for in all of them.
+    told = kept(told, few=True)
+    asked = told.join(wide, ["cdoc", "cth"]).groupBy(*columns, "chunks").agg((~F.max("stay")).alias("query"))
+    rows = cells(asked, load, POINTS_HELD).withColumn("first", F.lit(1)).join(points, ["doc", "th"])
+    more = within_bound(rows, num, den, groups)
+    out = kept(told.where("stay").select(columns).unionByName(more.where("stay").select(columns)).distinct(), few=True)
+    discard(wide, told)
     return out
 
 
@@ -390,18 +432,18 @@ def links_and_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: in
 
     Each link is verified, and any two linked sets are joined by some path of the links returned.
     """
-    known = kept(sizes(docs, k, groups))
+    known = kept(sizes(docs, k, groups), few=True)
     classes = known.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(vertex()).alias("rep"))
-    members = kept(known.join(classes, ["f1", "f2", "n"], "left").select("doc", "th", "n", F.coalesce("rep", vertex()).alias("rep")))
+    members = kept(known.join(classes, ["f1", "f2", "n"], "left").select("doc", "th", "n", F.coalesce("rep", vertex()).alias("rep")), few=True)
     n_docs = known.count()
-    reps = kept(members.where("n > 0").select("rep.doc", "rep.th").distinct())
-    shared = kept(count_shingles(docs, k).where("n > 1"))
+    reps = kept(members.where("n > 0").select("rep.doc", "rep.th").distinct(), few=True)
+    shared = kept(count_shingles(docs, k).where("n > 1"), few=True)
     often = max(FREQUENT, n_docs // FREQUENT_SHARE)
     while shared.where(F.col("n") > often).count() > SENT:
         often *= 2
     frequent = np.sort(np.array([r.key for r in shared.where(F.col("n") > often).select("key").collect()], dtype=np.int64).view(U64))
     first = prefixes(docs, k, num, den, frequent).join(shared, "key", "left").where(F.col("n").isNotNull() | (F.col("key") >= COUNTED_BELOW))
-    buckets = kept(first.select("key", "doc", "th", "size").join(reps, ["doc", "th"], "left_semi"))
+    buckets = kept(first.select("key", "doc", "th", "size").join(reps, ["doc", "th"], "left_semi"), few=True)
     discard(shared, reps)
     gathered = gatherings(buckets)
     discard(buckets)
@@ -410,25 +452,25 @@ def links_and_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: in
     left = staying(gathered, points.dropDuplicates(["doc", "th"]) if repeated else points, num, den, groups)
     discard(gathered, known)
     once = packed(docs.dropDuplicates(["doc", "th"]) if repeated else docs)
-    bodies = kept(once.join(left.select("doc", "th").distinct(), ["doc", "th"], "left_semi"))
-    leads = kept(left.groupBy("cdoc", "cth").agg(F.min(vertex()).alias("lead"), F.ceil(F.sum(F.col("size") + ROW) / HELD).cast("int").alias("chunks")))
+    bodies = kept(once.join(left.select("doc", "th").distinct(), ["doc", "th"], "left_semi"), few=True)
+    leads = kept(left.groupBy("cdoc", "cth").agg(F.min(vertex()).alias("lead"), F.ceil(F.sum(F.col("size") + ROW) / HELD).cast("int").alias("chunks")), few=True)
     around = left.join(leads, ["cdoc", "cth"])
-    own = F.pmod(F.xxhash64("doc", "th"), F.col("chunks")).cast("int")
+    own = own_part("chunks")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     leading = vertex() == F.col("lead")
     rows = around.select("cdoc", "cth", F.explode(F.when(leading, every).otherwise(F.array(own))).alias("chunk"), F.when(leading, 0).otherwise(1).alias("first"), "doc", "th")
-    links = kept(gathered_links(rows.join(bodies, ["doc", "th"]), k, num, den, groups))
+    links = kept(gathered_links(rows.join(bodies, ["doc", "th"]), k, num, den, groups), few=True)
     shared_out = around.where("chunks > 1")
     if shared_out.isEmpty():
         discard(left, leads, bodies)
         return links, members
-    # Gatherings that several tasks share: what isn't linked with the lead goes to all of them.
+    # Gatherings that several tasks share: what isn't linked with the lead meets all the others, in cells.
     roots = components(links)
     label = shared_out.withColumn("u", vertex()).join(roots, "u", "left").withColumn("root", F.coalesce("root", "u")).drop("u")
     main = label.where(leading).select("cdoc", "cth", F.col("root").alias("main"))
-    asked = label.join(main, ["cdoc", "cth"]).withColumn("query", F.col("root") != F.col("main"))
-    rows = asked.select("cdoc", "cth", F.explode(F.when(F.col("query"), every).otherwise(F.array(own))).alias("chunk"), F.lit(1).alias("first"), "doc", "th", F.col("root.doc").alias("ldoc"), F.col("root.th").alias("lth"), "query")
-    more = kept(gathered_links(rows.join(bodies, ["doc", "th"]), k, num, den, groups))
+    asked = label.join(main, ["cdoc", "cth"]).withColumn("query", F.col("root") != F.col("main")).drop("lead", "main")
+    rows = cells(asked, F.col("size") + ROW, HELD).select("cdoc", "cth", "chunk", F.lit(1).alias("first"), "doc", "th", F.col("root.doc").alias("ldoc"), F.col("root.th").alias("lth"), "query")
+    more = kept(gathered_links(rows.join(bodies, ["doc", "th"]), k, num, den, groups), few=True)
     discard(left, leads, bodies)
     return links.unionByName(more), members
 

@@ -18,6 +18,12 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Where a shared folder is local, Hadoop starts a `chmod` for each file and each task's folder; while it does, the executor's memory
+#: is counted twice.  Raw files come without checksum files, which are files more; other file systems don't read this.
+RAW_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Files of a table that is written to few: for each core, and at least.
+FILES_A_CORE, LEAST_FILES = 4, 32
+
 #: Spark then removes what an execution has shuffled as soon as it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -37,14 +43,19 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again, which cuts its lineage."""
+def kept(df: DataFrame, few: bool = False) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it again, which cuts its lineage.
+
+    few: the last step's partitions are worked off one after the other by some tasks a core, each of which writes one file
+    without checksums, so that the number of files doesn't grow with the input.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.coalesce(max(LEAST_FILES, FILES_A_CORE * spark.sparkContext.defaultParallelism)).write.options(**RAW_FILES) if few else df.write
+        out.option("compression", "zstd").parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)

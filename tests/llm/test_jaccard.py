@@ -148,3 +148,32 @@ def test_repeated_and_empty(spark):
     assert got == sorted([(0, least, 3), (0, least, 3), (3, least, 3), (3, least, 3), (1, 1, 0), (1, 1, 0), (2, 2, 0), (2, 2, 0), (least, least, 3), (least, least, 3), (least, least, 0), (least, least, 0)])
     assert J.linked(docs.limit(0)).count() == 0
     assert J.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_cells_are_bounded_and_let_all_queries_meet(spark):
+    """Queries of a large gathering, here 9 in 10 rows, went to each of its tasks all together."""
+    n, most = 400, 40
+    rows = spark.range(n).selectExpr("cast(1 as long) as cdoc", "cast(0 as long) as cth", f"cast({n // most} as int) as chunks", "id as doc", "cast(0 as long) as th", "1 as size", "id % 10 != 0 as query")
+    met, held = set(), {}
+    got = J.cells(rows, J.F.col("size"), most).collect()
+    for r in got:
+        held.setdefault(r.chunk, []).append(r)
+    for cell in held.values():
+        assert len({r.doc for r in cell}) == len(cell) < 3 * most
+        met |= {(q.doc, r.doc) for q in cell if q.query for r in cell if r.doc != q.doc}
+    assert met == {(a, b) for a in range(n) if a % 10 for b in range(n) if a != b}
+
+
+def test_points_decide_in_large_gatherings_too(spark, monkeypatch):
+    """Texts that share a passage of a quarter and little else, but for two: all of a gathering beyond POINTS_HELD went on."""
+    monkeypatch.setattr(J, "POINTS_HELD", 1000)
+    r = random.Random(2)
+    passage = [f"p{i}" for i in range(20)]
+    own = [[f"o{r.randrange(10 ** 6)}" for _ in range(60)] for _ in range(40)]
+    own[31] = own[7][:-1] + ["else"]
+    texts = [" ".join(passage + w) for w in own]
+    docs, _ = J.identified(table(spark, texts))
+    points = J.sizes(docs, J.SHINGLE, J.GROUPS)
+    members = points.selectExpr("cast(0 as long) as cdoc", "cast(0 as long) as cth", "doc", "th", "cast(n as int) as size")
+    assert rows(J.staying(members, points.select("doc", "th", "point"), J.NUM, J.DEN, J.GROUPS), "doc") == [(7,), (31,)]
+    assert sorted((r.doc, r.n, r.root.doc) for r in J.linked(table(spark, texts)).collect()) == brute(texts)

@@ -1,6 +1,9 @@
+import os
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
+from lodestone.llm.session import discard, kept
 
 from . import test_decontaminate, test_jaccard, test_packing, test_secrets
 
@@ -73,3 +76,11 @@ def test_stages_on_odd_tables(spark):
     assert stage(spark, docs.limit(0), sf_dir).count() == 0
     packed = stage(spark, docs, sf_dir)
     assert packed.where("piece = 0").count() == docs.count()
+
+
+def test_intermediate_tables_of_few_files(spark):
+    """Hadoop starts a process for each local file it makes, a .crc file included, and the more there are, the larger the input."""
+    out = kept(spark.range(0, 1000, 1, 200), few=True)
+    names = os.listdir(out._lodestone_path.removeprefix("file:"))
+    assert out.count() == 1000 and 0 < sum(n.endswith(".parquet") for n in names) <= 32 and not any(n.endswith(".crc") for n in names)
+    discard(out)

@@ -31,7 +31,7 @@ from .arrays import in_bytes, mix, owners, parts, ranges, signed
 from .bodies import packed
 from .components import components
 from .fingerprints import shingle_hashes
-from .session import LEAST, bounded, discard, doc_ids, identified, kept, read
+from .session import LEAST, bounded, discard, doc_ids, identified, in_few_tasks, kept, read
 
 U64 = np.uint64
 #: Words in a shingle; the similarity as a fraction; groups of a point, at least and at most.
@@ -496,12 +496,14 @@ def linked(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN, gr
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """docs with one document, the first, of each group that links connect; all columns stay, whatever their names.
-    Of rows that agree in id and text one stays, too; texts without words stay, as they are linked with nothing."""
+    Of rows that agree in id and text one stays, too; texts without words stay, as they are linked with nothing.
+
+    Whole rows meet the identities that stay by hashes of those, so texts aren't sorted; the result comes in few partitions."""
     named = docs.withColumn("__all", F.struct(*docs.columns))
     source, unique = identified(named, doc_id, text, ("__all",))
     firsts = linked(docs, text=text, doc_id=doc_id, **options).where(vertex() == F.col("root")).select("doc", "th").distinct()
     out = source.select("doc", "th", "__all") if unique else source.select("doc", "th", "__all").dropDuplicates(["doc", "th"])
-    return out.join(firsts, ["doc", "th"], "left_semi").select("__all.*")
+    return in_few_tasks(out.join(firsts.hint("shuffle_hash"), ["doc", "th"], "left_semi").select("__all.*"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Arrow batches are bounded by bytes, for very long texts.
-BATCH_BYTES = 8 << 20
+#: Arrow batches are bounded by bytes, for very long texts; each is held by the JVM, outside its heap, and by Python, which works
+#: on parts of about so many bytes.
+BATCH_BYTES = 2 << 20
 
 
 def bounded(spark: SparkSession) -> SparkSession:
@@ -43,6 +44,11 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+def in_few_tasks(df: DataFrame) -> DataFrame:
+    """df's partitions worked off one after the other by some tasks a core, so that whoever writes it makes few files."""
+    return df.coalesce(max(LEAST_FILES, FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def kept(df: DataFrame, few: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again, which cuts its lineage.
 
@@ -54,7 +60,7 @@ def kept(df: DataFrame, few: bool = False) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        out = df.coalesce(max(LEAST_FILES, FILES_A_CORE * spark.sparkContext.defaultParallelism)).write.options(**RAW_FILES) if few else df.write
+        out = in_few_tasks(df).write.options(**RAW_FILES) if few else df.write
         out.option("compression", "zstd").parquet(path)
     finally:
         if before is None:

@@ -1,9 +1,11 @@
 import os
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from lodestone.llm.session import discard, kept
+from lodestone.llm import jaccard
+from lodestone.llm.session import FILES_A_CORE, LEAST_FILES, bounded, discard, kept
 
 from . import test_decontaminate, test_jaccard, test_packing, test_secrets
 
@@ -84,3 +86,30 @@ def test_intermediate_tables_of_few_files(spark):
     names = os.listdir(out._lodestone_path.removeprefix("file:"))
     assert out.count() == 1000 and 0 < sum(n.endswith(".parquet") for n in names) <= 32 and not any(n.endswith(".crc") for n in names)
     discard(out)
+
+
+def test_near_duplicates_leave_in_few_files_and_unsorted(spark, monkeypatch):
+    """Stage 2's result had a file, for which Hadoop starts processes, for each shuffle partition, and whole texts were sorted for the join."""
+    n = 600
+    docs = spark.range(n).selectExpr("id as doc_id", "repeat('some words ', 50) as text", "'en' as lang")
+    found = spark.range(n).selectExpr("id as doc", "cast(0 as long) as th", "named_struct('doc', id - id % 3, 'th', cast(0 as long)) as root")
+    monkeypatch.setattr(jaccard, "linked", lambda *a, **k: found)
+    settings = {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = jaccard.deduplicated(docs)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.rdd.getNumPartitions() <= max(LEAST_FILES, FILES_A_CORE * spark.sparkContext.defaultParallelism)
+        assert sorted(r.doc_id for r in out.collect()) == list(range(0, n, 3))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_batches_are_no_larger_than_the_parts_worked_on(spark):
+    """Batches of 8 MB were held outside the JVM's heap, and by Python, which takes 2 MB at a time."""
+    rows = bounded(spark).range(0, 64, 1, 1).selectExpr("id", "repeat('x', 500000) as text")
+    largest = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").agg(F.max("n")).first()[0]
+    assert 500_000 < largest < 3_000_000

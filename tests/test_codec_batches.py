@@ -6,8 +6,10 @@ import zlib
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import types as T
 
 from lodestone import queries as Q
+from lodestone import schema as S
 from lodestone.functions import codec
 
 from .oracle import compare
@@ -24,6 +26,24 @@ def as_long_as_its_gzip() -> bytes:
     raise AssertionError
 
 
+class Frame:
+    """Stands for a DataFrame: hands out the function that would run on batches."""
+
+    def __init__(self, ddl: T.StructType):
+        self.schema, self.sparkSession, self.conf = ddl, self, self
+        self.settings = {}
+
+    def set(self, key, value):
+        self.settings[key] = value
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+PLAIN = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("method", T.StringType()), T.StructField("data", T.BinaryType())])
+CODED = T.StructType([*PLAIN.fields, *(T.StructField(n, T.LongType()) for n in ("flags", "compressed_length", "decompressed_length"))])
+
+
 def test_a_gzip_as_long_as_its_text_is_decoded():
     text = as_long_as_its_gzip()
     flags, stored, _ = codec.encode("Zlib", text)
@@ -44,3 +64,17 @@ def folder(tmp_path_factory):
 @pytest.mark.parametrize("name", ["codec_roundtrip_zlib"])
 def test_texts_as_long_as_their_gzip(spark, folder, name):
     compare(spark, name, Q.QUERIES[name], Q.SQL[name], folder)
+
+
+def big(ddl: T.StructType, n: int = 300, each: int = 100_000) -> pa.RecordBatch:
+    values = {"doc_id": range(n), "method": ["Combuf"] * n, "data": [b"x" * each] * n, "flags": [S.COPYCOMP] * n, "compressed_length": [each] * n, "decompressed_length": [each] * n}
+    kinds = {"method": pa.string(), "data": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(values[f], kinds.get(f, pa.int64())) for f in ddl.names], names=ddl.names)
+
+
+@pytest.mark.parametrize("run,ddl", [(codec.encoded, PLAIN), (codec.decoded, CODED)])
+def test_batches_are_bounded_by_bytes(run, ddl):
+    frame = Frame(ddl)
+    got = list(run(frame)(iter([big(ddl)])))
+    assert sum(b.num_rows for b in got) == 300 and max(sum(map(len, b.column("data").to_pylist())) for b in got) <= 4 << 20
+    assert int(frame.settings["spark.sql.execution.arrow.maxBytesPerBatch"]) <= 4 << 20

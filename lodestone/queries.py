@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -465,7 +466,7 @@ def stored_oddly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import bz2
     import zlib
 
-    for b in batches:
+    for b in codec.pieces(batches, lambda batch: [3 * n for n in pc.binary_length(batch.column("data")).fill_null(0).to_pylist()]):
         out = []
         for k, text in zip(b.column("doc_id").to_pylist(), b.column("data").to_pylist(), strict=True):
             text *= 3

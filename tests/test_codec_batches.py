@@ -78,3 +78,8 @@ def test_batches_are_bounded_by_bytes(run, ddl):
     got = list(run(frame)(iter([big(ddl)])))
     assert sum(b.num_rows for b in got) == 300 and max(sum(map(len, b.column("data").to_pylist())) for b in got) <= 4 << 20
     assert int(frame.settings["spark.sql.execution.arrow.maxBytesPerBatch"]) <= 4 << 20
+
+
+def test_odd_storage_is_bounded_by_bytes():
+    got = list(Q.stored_oddly(iter([big(PLAIN)])))
+    assert sum(b.num_rows for b in got) == 300 and max(sum(map(len, b.column("data").to_pylist())) for b in got) <= 4 << 20

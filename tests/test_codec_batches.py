@@ -66,6 +66,20 @@ def test_texts_as_long_as_their_gzip(spark, folder, name):
     compare(spark, name, Q.QUERIES[name], Q.SQL[name], folder)
 
 
+def test_jobs_do_not_grow_with_archives(spark, folder):
+    """Twelve documents in one archive and in six."""
+    jobs = []
+    for most in (12, 2):
+        group = f"archives of {most}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            assert Q.pack_toml(spark, folder, most=most).count() == 12
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    assert 0 < jobs[1] <= jobs[0] + 8, jobs
+
+
 def big(ddl: T.StructType, n: int = 300, each: int = 100_000) -> pa.RecordBatch:
     values = {"doc_id": range(n), "method": ["Combuf"] * n, "data": [b"x" * each] * n, "flags": [S.COPYCOMP] * n, "compressed_length": [each] * n, "decompressed_length": [each] * n}
     kinds = {"method": pa.string(), "data": pa.binary()}
@@ -83,3 +97,10 @@ def test_batches_are_bounded_by_bytes(run, ddl):
 def test_odd_storage_is_bounded_by_bytes():
     got = list(Q.stored_oddly(iter([big(PLAIN)])))
     assert sum(b.num_rows for b in got) == 300 and max(sum(map(len, b.column("data").to_pylist())) for b in got) <= 4 << 20
+
+
+def test_lzma_states_a_dictionary_that_fits():
+    for n in (0, 1, 4096, 4097, 100_000):
+        data = bytes(k % 251 for k in range(n))
+        flags, stored, _ = codec.encode("Lzma", data)
+        assert int.from_bytes(stored[1:5], "little") <= max(1 << 12, 2 * n) and codec.decode(flags, len(stored), n, stored).data == data

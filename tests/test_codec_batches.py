@@ -61,7 +61,7 @@ def folder(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["codec_roundtrip_zlib", "archive_extract", "unpack_files"])
+@pytest.mark.parametrize("name", ["codec_roundtrip_zlib", "archive_extract", "pack_lines", "unpack_files"])
 def test_texts_as_long_as_their_gzip(spark, folder, name):
     compare(spark, name, Q.QUERIES[name], Q.SQL[name], folder)
 
